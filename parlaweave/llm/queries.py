@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, cooccurrence, leakage, splitting
+from . import components, cooccurrence, leakage, lookalikes, splitting
+
+
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    mentions = table(spark, d, "entity_mention").select(F.lit("entity_mention").alias("src_table"), F.col("mention_id").alias("row_id"), F.col("word").alias("text"))
+    outputs = table(spark, d, "compare_outputs").select(F.lit("compare_outputs").alias("src_table"), F.col("cmp_id").alias("row_id"), F.col("raw_text").alias("text"))
+    return lookalikes.plain_rows(mentions.unionByName(outputs), "text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_forms(spark, d).where("is_case").select("src_table", "row_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
