@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, cooccurrence, leakage, lookalikes, splitting
+from . import components, cooccurrence, garbled, leakage, lookalikes, splitting
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +51,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where("edits = 0").select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restore(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = globals()
     return {k: own[k] for k in sorted(own) if k[:1] == "p" and k[1:2].isdigit()}
