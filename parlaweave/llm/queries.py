@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, cooccurrence, garbled, leakage, lookalikes, splitting
+from . import components, cooccurrence, garbled, leakage, lookalikes, splitting, turns
+
+
+def p1_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, d, "transcript"), table(spark, d, "session_speaker"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_turns(spark, d).select("doc_id", "turn_no", "speaker_no")
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:

@@ -31,8 +31,8 @@ FILLERS = re.compile(
 )
 ANNOTATION = re.compile(r"\(\([^()]*\)\)|<<[^<>]*>>|\[[^\[\]\n]*\]|\*[^*\n]{1,60}\*|\([A-ZÀ-Ý][^()\n]*[.!]\)|[\u2600-\u27BF\uFE0F\u200D\U0001F300-\U0001FAFF]+")
 
-_END = r"(?:\s*:(?=\s|$)|\s+[-–—](?=\s|$))"
-_PAREN = r"(?:\s*\((?P<paren>[^()\n]{1,160})\))?"
+_END = r"(?:[^\S\n]*:(?=\s|$)|[^\S\n]+[-–—](?=\s|$))"
+_PAREN = r"(?:[^\S\n]*\((?P<paren>[^()\n]{1,160})\))?"
 _TITLE = r"(?:(?:[OA]\s+)?(?:SRA?|Sra?)\.|(?:Pres|Presid|PRES|PRESID|Dep|DEP|Sen|SEN|Ver|VER)\.|Deputad[oa]|DEPUTAD[OA]|Senadora?|SENADORA?|Vereadora?|VEREADORA?|President[ea]|PRESIDENT[EA])"
 #: At the start of a line, after an optional time stamp.
 AT_LINE = re.compile(rf"^[^\S\n]*(?:{STAMP}[^\S\n]*(?:[-–—][^\S\n]*)?)*(?P<label>(?P<head>[^\W\d_][^:\n()–—]{{0,110}}?){_PAREN}){_END}", re.M)
