@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 PARTICLES = {"de", "da", "do", "dos", "das", "e", "di", "del"}
 GENERATION = {"filho", "neto", "junior", "jr", "sobrinho", "segundo"}
@@ -38,7 +37,6 @@ def tokens(text: str | None) -> list[str]:
     return [t for t in re.findall(r"[a-z0-9]+", fold(text)) if t not in PARTICLES or len(t) == 1]
 
 
-@lru_cache(maxsize=200_000)
 def distance(a: str, b: str, most: int = 3) -> int:
     """Edits from ``a`` to ``b`` with neighbours swapped counting one (optimal string alignment); ``most + 1`` beyond ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -64,7 +62,6 @@ def allowed(length: int) -> int:
     return 0 if length <= 3 else 1 if length <= 6 else 2
 
 
-@lru_cache(maxsize=100_000)
 def same_given(short: str, name: str) -> bool:
     """Whether ``short`` is a nickname of ``name``: listed, a diminutive, a beginning or an end of it."""
     if short == name or name in NICKNAMES.get(short, ()):

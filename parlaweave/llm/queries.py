@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, cooccurrence, garbled, leakage, lookalikes, splitting, turns
+from . import components, cooccurrence, garbled, leakage, lookalikes, splitting, turns, variants
 
 
 def p1_turns(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +29,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_forms(spark, d).where("is_case").select("src_table", "row_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.link_names(table(spark, d, "name_record"), table(spark, d, "name_entry"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.pair_lift(table(spark, d, "speech_mention"), "speech_id", "word").select("word_a", "word_b")
 
