@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import components, cooccurrence, garbled, leakage, lookalikes, splitting, turns, variants
+from ..session import checkpoint, table
+from . import components, cooccurrence, garbled, leakage, lookalikes, mixing, splitting, turns, variants
 
 
 def p1_turns(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +63,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where("edits = 0").select("doc_id", "item_id")
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return checkpoint(mixing.count_tokens(table(spark, d, "documents").select("doc_id", "source", "text"), "text"))
+
+
+def p8_mix_copies(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_target"), "doc_id", "source", "n_tokens")
+
+
+def p8_mix_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Actual shares of the mix beside their targets."""
+    sized, targets = _sized(spark, d), table(spark, d, "mix_target")
+    mixed = checkpoint(mixing.mix(sized, targets, "doc_id", "source", "n_tokens"))
+    return mixing.shares(mixed, sized, targets, "source", "n_tokens")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled.find_garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
