@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 def read_corpus(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Text files as documents: ``doc_id`` (path), ``base`` (name without ``.txt``), ``text``; annotated ones are left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.txt").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter="*.txt")
     name = F.col("_metadata.file_name")
     return files.where(~name.endswith(".annotated.txt")).select(F.col("_metadata.file_path").alias("doc_id"), F.regexp_replace(name, r"\.txt$", "").alias("base"), F.col("value").alias("text"))
 
@@ -24,8 +24,8 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_typed_codes(spark: SparkSession, path: str) -> DataFrame:
     """Pairs of lines ``TYPE:`` and code; a line left over is dropped."""
-    lines = F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")
-    whole = spark.read.option("wholetext", True).text(path).select(lines.alias("l"))
+    lines = F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")
+    whole = spark.read.text(path, wholetext=True).select(lines.alias("l"))
     pairs = whole.where(F.size("l") >= 2).select(F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 2).cast("int") - 1)).alias("i"), "l")
     return pairs.select(F.regexp_replace(F.trim(F.get("l", F.col("i") * 2)), ":$", "").alias("tipo"), F.expr("try_cast(trim(get(l, i * 2 + 1)) as bigint)").alias("codigo"))
 
@@ -42,7 +42,7 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_entities(spark: SparkSession, path: str) -> DataFrame:
     """Grouped entities (name -> [[start, end, score], ...]) as rows ``doc_id``, ``name``, ``start``, ``end``, ``score``; broken files give none."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
     parsed = whole.select(F.col("_metadata.file_path").alias("doc_id"), F.from_json("value", "map<string, array<array<double>>>").alias("m"))
     rows = parsed.select("doc_id", F.explode("m").alias("name", "spots")).select("doc_id", "name", F.explode("spots").alias("s"))
     return rows.select("doc_id", "name", F.get("s", F.lit(0)).cast("int").alias("start"), F.get("s", F.lit(1)).cast("int").alias("end"), F.get("s", F.lit(2)).alias("score"))
