@@ -255,12 +255,13 @@ def find_garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
 def restore(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The damaged documents with ``restored`` text; white space stays as it was."""
     fixed = find_garbled(docs, key, text)
-    both = docs.select(key, F.col(text).alias("t")).join(fixed, key)
+    both = docs.select(key, F.col(text).alias("_text")).join(fixed, key)
 
     def rebuild(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for k, t, fixes in zip(pdf[key], pdf["t"], pdf["fixes"]):
+            pdf = pdf[pdf["_text"].notna()]
+            for k, t, fixes in zip(pdf[key], pdf["_text"], pdf["fixes"]):
                 now = {f["pos"]: (f["was"], f["now"]) for f in fixes}
                 parts, at = [], 0
                 for pos, m in enumerate(re.finditer(r"[^ \t\n\r]+", t)):

@@ -115,7 +115,10 @@ def plain_texts(texts: DataFrame, text: str) -> DataFrame:
 
 
 def plain_rows(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with the column ``plain`` added (null where the text is null) and ``is_case``: the text isn't in plain form and isn't written wholly in another alphabet."""
-    forms = plain_texts(rows, text).withColumnRenamed(text, "__t")
-    out = rows.join(forms, rows[text] == forms["__t"], "left").drop("__t")
+    """``rows`` with the column ``plain`` added (null where the text is null) and ``is_case``: the text isn't in plain form and isn't written wholly in another alphabet.
+
+    Columns of these names that ``rows`` already has are replaced."""
+    rows = rows.drop("plain", "is_case")
+    forms = plain_texts(rows, text).select(F.col(text).alias("_plain_of"), "plain")
+    out = rows.join(forms, F.col(text) == F.col("_plain_of"), "left").select(*[F.col(f"`{c}`") for c in rows.columns], "plain")
     return out.withColumn("is_case", F.coalesce((F.col("plain") != F.col(text)) & ~foreign(F.col(text)), F.lit(False)))
