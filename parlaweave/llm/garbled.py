@@ -173,7 +173,7 @@ def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def contested_tokens(docs: DataFrame, text: str) -> DataFrame:
     """Tokens for which some decoding beats the token itself: ``token`` and ``ways``, an array of (channel, text, score)."""
-    tokens = docs.select(F.explode(_tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = checkpoint(docs.select(F.explode(_tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))  # read four times
     words = tokens.groupBy(core(F.col("token")).alias("core")).agg(F.sum("n").alias("n")).where("core not like '%�%'")
     total = words.agg(F.sum("n")).first()[0] or 1
     odd = tokens.where(F.col("token").rlike("[^\\x00-\\x7F]|\\p{L}\\?\\p{L}")).select("token")
