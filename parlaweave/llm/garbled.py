@@ -39,6 +39,8 @@ CHANNELS: list[tuple[str, list[tuple[str, str]]]] = [
     ("lost", []),
 ]
 LOST_STATE = len(CHANNELS) - 1
+#: Contested tokens that are broadcast (some 300 bytes each).
+BROADCAST_TOKENS = 100_000
 #: Costs in nats: entering a channel, an unknown word, a form no rightly written text has, a lost byte filled in, an unknown word from single bytes.
 ENTER, IMPROBABLE, FILL, WEAK = 5.0, 8.0, 4.0, 4.0
 #: Signs beyond Latin-1 letters that a right decoding may hold.
@@ -248,7 +250,8 @@ def find_garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where("t is not null").dropDuplicates(["doc", "t"])
     contested = checkpoint(contested_tokens(texts, "t"))
     spots = texts.select("doc", F.posexplode(_tokens(F.col("t"))).alias("pos", "token")).where(F.col("token").rlike("[^\\x00-\\x7F]|\\p{L}\\?\\p{L}"))
-    hit = spots.join(contested, "token")
+    # beyond the bound the join shuffles by token, and adaptive execution splits hot ones
+    hit = spots.join(F.broadcast(contested) if contested.count() <= BROADCAST_TOKENS else contested, "token")
     return hit.groupBy("doc").agg(F.collect_list(F.struct("pos", "token", "ways")).alias("spans")).mapInPandas(_settle, f"doc {kind}, fixes array<struct<pos: int, channel: string, was: string, now: string>>").withColumnRenamed("doc", key)
 
 
