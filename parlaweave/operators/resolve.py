@@ -79,7 +79,8 @@ def resolve_at_scale(names: DataFrame, threshold: int = 85) -> DataFrame:
     """Order-independent resolver: ``graph_id``, ``name``, ``canonical``.
 
     Keys of two words or more that share a given word and a surname-like word (or its first letters) are compared, similar ones linked, and every group takes its longest
-    spelling (ties: the least).  Not the same as the ordered fold: there are no conflicts, and single words resolve only to equal keys."""
+    spelling (ties: the least).  A block holds the distinct keys of one graph
+    with the same first word and beginning of the last, the spellings of a few persons.  Not the same as the ordered fold: there are no conflicts, and single words resolve only to equal keys."""
     keyed = names.where("name <> ''").select("graph_id", "name", F.coalesce(name_key(F.col("name")), F.col("name")).alias("key")).distinct()
     keys = keyed.select("graph_id", "key").distinct()
     words = F.filter(F.array_distinct(F.split("key", " ")), lambda w: (F.length(w) > 2))

@@ -44,8 +44,11 @@ def mention_rows(spark: SparkSession, d: str, faithful: bool = False) -> DataFra
 
 
 def speech_edges(spark: SparkSession, d: str) -> DataFrame:
-    """A dense mention graph from ``speech_mention``: the person a speech names most (ties: the least label) against each other one of the speech."""
-    m = table(spark, d, "speech_mention").where("speech_id is not null and word is not null and graph_id is not null").groupBy("graph_id", "speech_id", "word").agg(F.coalesce(F.max("weight"), F.lit(0)).alias("w"))
+    """A dense mention graph from ``speech_mention``: the person a speech names most (ties: the least label) against each other one of the speech.
+
+    One shuffle by speech serves both the aggregation and the window; only edge counts are shuffled again."""
+    m = table(spark, d, "speech_mention").where("speech_id is not null and word is not null and graph_id is not null").select("graph_id", "speech_id", "word", "weight")
+    m = m.repartition("graph_id", "speech_id").groupBy("graph_id", "speech_id", "word").agg(F.coalesce(F.max("weight"), F.lit(0)).alias("w"))
     first = F.first("word").over(Window.partitionBy("graph_id", "speech_id").orderBy(F.col("w").desc(), "word"))
     pairs = m.select("graph_id", "speech_id", first.alias("src"), F.col("word").alias("dst")).where("src <> dst")
     return pairs.groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("weight"))
