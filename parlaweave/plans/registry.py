@@ -145,6 +145,12 @@ def html_href_code(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {TR} select doc_id, chr(10) || regexp_replace(substr(text, 1, 400), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') as text from tr")
 def html_bold_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """The beginning of the transcript text, as far as the SQL of this query goes; ``html_bold_speakers_whole`` has all of it."""
+    return html.assemble(html.page_fields(R.pages(spark, d, 400), "doc_id", "html"), "doc_id")
+
+
+@query(f"with {TR} select doc_id, chr(10) || regexp_replace(text, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') as text from tr")
+def html_bold_speakers_whole(spark: SparkSession, d: str) -> DataFrame:
     """Transcript text assembled from bold speakers and spans."""
     return html.assemble(html.page_fields(R.pages(spark, d), "doc_id", "html"), "doc_id")
 

@@ -79,10 +79,10 @@ def predicted(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("doc_id", F.col("algo_start").alias("start"), F.col("algo_end").alias("end")).agg(F.min("cmp_id").alias("pred_id"), F.min("algo_canon").alias("p_canon"), F.min("raw_text").alias("p_raw"))
 
 
-def pages(spark: SparkSession, d: str) -> DataFrame:
-    """Raw pages in the form the houses publish, made from the transcripts."""
+def pages(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
+    """Raw pages in the form the houses publish, made from the transcripts; ``most`` keeps only so many code points of the text."""
     t = transcripts(spark, d)
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     title = F.coalesce("titulo", F.lit("sem título"))
-    html = F.concat(F.lit("<html><head><title>"), esc(title), F.lit("</title></head><body><h1>"), esc(title), F.lit('</h1><a href="/notas/'), F.col("doc_id"), F.lit('">x</a><p><b>O SR. PRESIDENTE</b><b>Nota</b></p><span>'), esc(F.substring("text", 1, 400)), F.lit("</span></body></html>"))
+    html = F.concat(F.lit("<html><head><title>"), esc(title), F.lit("</title></head><body><h1>"), esc(title), F.lit('</h1><a href="/notas/'), F.col("doc_id"), F.lit('">x</a><p><b>O SR. PRESIDENTE</b><b>Nota</b></p><span>'), esc(F.col("text") if most is None else F.substring("text", 1, most)), F.lit("</span></body></html>"))
     return t.select("doc_id", html.alias("html"))
