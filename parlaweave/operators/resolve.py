@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import set_score, token_set, token_set_ratio
 from ..functions.text import name_key
 from ..session import checkpoint, parallelism
 
+#: Distinct keys of one graph that a task compares with as many others.
+BLOCK_KEYS = 1_000
+
 
 def resolve_in_order(names: DataFrame, faithful: bool = True, threshold: int = 85, margin: int = 10) -> DataFrame:
     """The ordered resolver: ``graph_id``, ``seq``, ``name``, ``canonical``.
@@ -75,20 +82,65 @@ def components(edges: DataFrame) -> DataFrame:
         e, seen = new, now
 
 
+def _worded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        words = [sorted(token_set(k)) for k in pdf["key"]]
+        yield pd.DataFrame({"graph_id": pdf["graph_id"], "key": pdf["key"], "words": words, "size": [len(" ".join(w)) for w in words]})
+
+
+def _alike(names: list[str], others: list[str] | None, threshold: int) -> Iterator[tuple[str, str]]:
+    """Pairs in reach of ``threshold`` by their shared characters, scored; of ``names`` alone if there are no ``others``."""
+    sets = [[token_set(k) for k in ks] for ks in (names, names if others is None else others)]
+    bags = [[Counter(" ".join(s)) for s in ss] for ss in sets]
+    size = [np.array([b.total() for b in bs], np.int64) for bs in bags]
+    shared = np.zeros((len(bags[0]), len(bags[1])), np.int32)
+    for c in set().union(*bags[0]) & set().union(*bags[1]):
+        shared += np.minimum.outer(*(np.array([b[c] for b in bs], np.int32) for bs in bags))
+    near = 400 * shared.astype(np.int64) >= (2 * threshold - 1) * np.add.outer(*size)  # the rounded ratio of a longest common subsequence of all shared characters
+    for i, j in zip(*np.nonzero(np.triu(near, 1) if others is None else near)):
+        if set_score(sets[0][i], sets[1][j], threshold) >= threshold:
+            yield names[i], (names if others is None else others)[j]
+
+
+def similar_pairs(keys: DataFrame, threshold: int = 85, block: int = BLOCK_KEYS) -> DataFrame:
+    """All pairs ``a`` < ``b`` of distinct keys (``graph_id``, ``key``) of a graph whose token-set ratio reaches ``threshold``.
+
+    A pair reaches it by its shared words or by an edit distance.  By shared words: what one of the two has besides is short, so its rarest words, up to that
+    length, hold a shared one, which the other is found by.  By edits: the characters both have must suffice; they are counted for all pairs of a graph, ``block``
+    keys against ``block`` keys a task, cheap but quadratic in the distinct keys of one graph."""
+    spark, kind = keys.sparkSession, dict(keys.dtypes)["graph_id"]
+    worded = checkpoint(keys.select("graph_id", "key").distinct().mapInPandas(_worded, f"graph_id {kind}, key string, words array<string>, size int").where("size > 0"))
+    words = worded.select("graph_id", "key", "size", F.explode("words").alias("word"))
+    count = words.groupBy("graph_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = Window.partitionBy("graph_id", "key").orderBy("n", "word").rowsBetween(Window.unboundedPreceding, -1)
+    least = 2 * threshold - 1  # twice the ratio that is rounded up to the threshold
+    slack = F.col("size") * (1 - least / (400 - least)) + 1e-6
+    prefix = words.join(count, ["graph_id", "word"]).withColumn("before", F.coalesce(F.sum(F.length("word") + 1).over(rarest), F.lit(0))).where(F.col("before") <= slack)
+    held = prefix.select("graph_id", "word", F.col("key").alias("x")).join(words.select("graph_id", "word", F.col("key").alias("y")), ["graph_id", "word"]).where("x <> y")
+    worded_pairs = held.select("graph_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    by_words = worded_pairs.where(token_set_ratio(F.col("a"), F.col("b")) >= threshold)
+
+    def run(cell: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = cell
+        one, two = (pdf.loc[pdf["own"] == k, "key"].tolist() for k in (i, j))
+        rows = [(cell[0], min(p), max(p)) for p in _alike(one, None if i == j else two, threshold)]
+        return pd.DataFrame(rows, columns=["graph_id", "a", "b"])
+
+    blocks = worded.groupBy("graph_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = worded.join(blocks, "graph_id").select("graph_id", "key", F.expr("cast(pmod(xxhash64(key), blocks) as int)").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = own.select("graph_id", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    tasks = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes but much work, so they must not be coalesced
+    by_edits = cells.repartition(tasks, "graph_id", "i", "j").groupBy("graph_id", "i", "j").applyInPandas(run, f"graph_id {kind}, a string, b string")
+    return by_words.unionByName(by_edits).distinct()
+
+
 def resolve_at_scale(names: DataFrame, threshold: int = 85) -> DataFrame:
     """Order-independent resolver: ``graph_id``, ``name``, ``canonical``.
 
-    Keys of two words or more that share a given word and a surname-like word (or its first letters) are compared, similar ones linked, and every group takes its longest
-    spelling (ties: the least).  A block holds the distinct keys of one graph
-    with the same first word and beginning of the last, the spellings of a few persons.  Not the same as the ordered fold: there are no conflicts, and single words resolve only to equal keys."""
+    All similar keys of a graph are linked, and every group takes its longest spelling (ties: the least).  Not the same as the ordered fold:
+    there are no conflicts, so a short key that resembles several others brings them into one group."""
     keyed = names.where("name <> ''").select("graph_id", "name", F.coalesce(name_key(F.col("name")), F.col("name")).alias("key")).distinct()
-    keys = keyed.select("graph_id", "key").distinct()
-    words = F.filter(F.array_distinct(F.split("key", " ")), lambda w: (F.length(w) > 2))
-    blocks = keys.withColumn("w", words).where(F.size("w") >= 2)
-    code = F.concat_ws("|", F.col("w")[0], F.substring(F.element_at("w", -1), 1, 4))
-    blocked = blocks.select("graph_id", "key", code.alias("block"))
-    pairs = blocked.alias("x").join(blocked.alias("y"), ["graph_id", "block"]).where("x.key < y.key").select("graph_id", F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    close = pairs.where(token_set_ratio(F.col("a"), F.col("b")) >= threshold)
+    close = similar_pairs(keyed.select("graph_id", "key"), threshold)
     tie = lambda c: F.concat_ws("\x01", "graph_id", c)
     roots = components(close.select(tie("a").alias("a"), tie("b").alias("b")))
     placed = keyed.join(roots, tie("key") == roots["node"], "left").select("graph_id", "name", F.coalesce("root", tie("key")).alias("root"))
