@@ -2,9 +2,9 @@
 
 A text is parsed into a tree: blank-line blocks, lines (a turn of a transcript is a line), sentences, clauses, words.
 Sibling subtrees are merged bottom-up while their span fits the limit, and only nodes that are
-themselves too large are descended into.  A word that is too large has no boundary inside and
-is cut at the limit.  Each piece then reaches back over at most ``overlap`` code points of the one
-before, to a boundary if there is one in reach.
+themselves too large are descended into.  A word has no boundary inside; one that fits a piece stays whole,
+at the cost of overlap, and only one above the limit is cut.  Each piece then reaches back over at most ``overlap``
+code points of the one before, as far as the limit allows, to a boundary if there is one in reach.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Where a node of each level may end, coarse to fine.  Each match ends a child.
 LEVELS = [
-    re.compile(r"\n[ \t\r]*\n\s*"),  # blank-line blocks
+    re.compile(r"\n[ \t\r]*\n[ \t\n\r]*"),  # blank-line blocks
     re.compile(r"[\n\r]+"),  # lines: turns, list items, headings
     re.compile(r"[.!?…]+[\"”’)\]]*[ \t]+"),  # sentences
     re.compile(r"[,;:–—]+[ \t]+"),  # clauses
@@ -35,8 +35,22 @@ def _children(text: str, start: int, end: int, level: int) -> list[int]:
     return [*cuts, end]
 
 
-def pack(text: str, limit: int, start: int = 0, end: int | None = None, level: int = 0) -> list[tuple[int, int]]:
-    """Tiles [start, end) with pieces of at most ``limit`` code points."""
+def _inside(text: str, i: int) -> bool:
+    """Whether ``i`` is inside a stretch without space, tab or line break."""
+    return 0 < i < len(text) and text[i - 1] not in BREAK and text[i] not in BREAK
+
+
+def _cut(text: str, a: int, b: int, limit: int, longest: int) -> list[tuple[int, int]]:
+    """Tiles a stretch and the white space after it: a stretch of at most ``longest`` stays whole, a longer one is cut at ``limit``."""
+    if b - a <= longest and (b - a <= limit or text[a] not in BREAK):
+        return [(a, b)]
+    m = _HARD.match(text, a, b)
+    first = max(m.end(), min(a + limit, b)) if m and m.end() - a <= longest else min(a + limit, b)
+    return [(a, first), *((i, min(i + limit, b)) for i in range(first, b, limit))]
+
+
+def pack(text: str, limit: int, start: int = 0, end: int | None = None, level: int = 0, longest: int | None = None) -> list[tuple[int, int]]:
+    """Tiles [start, end) with pieces of at most ``limit`` code points, or ``longest`` where a stretch without boundary needs more."""
     todo, out = [(start, len(text) if end is None else end, level)], []
     while todo:  # an explicit stack: depth does not depend on the text
         a, b, k = todo.pop()
@@ -44,7 +58,7 @@ def pack(text: str, limit: int, start: int = 0, end: int | None = None, level: i
             out.append((a, b))
             continue
         if k == len(LEVELS):  # one word, no boundary inside
-            out += [(i, min(i + limit, b)) for i in range(a, b, limit)]
+            out += _cut(text, a, b, limit, longest or limit)
             continue
         ends = _children(text, a, b, k)
         if len(ends) == 1:
@@ -80,16 +94,16 @@ def split_text(text: str, limit: int = 1000, overlap: int = 200) -> list[tuple[i
     """(start, end, shared, kind): pieces that cover the text; ``shared`` code points belong to the piece before too.
 
     ``kind`` is ``hard`` if the piece begins or ends inside a stretch without space, tab or line break."""
-    tiles = pack(text, limit - overlap) if len(text) > limit else [(0, len(text))]
+    tiles = pack(text, limit - overlap, longest=limit) if len(text) > limit else [(0, len(text))]
     starts = [m.start() for m in re.finditer(r"(?<=[ \t\n\r])[^ \t\n\r]", text)]
     out = []
     for k, (a, b) in enumerate(tiles):
         reach = a
         if k:
-            low = max(a - overlap, tiles[k - 1][0])
+            low = max(a - min(overlap, limit - (b - a)), tiles[k - 1][0])
             i = bisect_left(starts, low)
-            reach = starts[i] if i < len(starts) and starts[i] < a else (low if text[a - 1] not in BREAK else a)
-        hard = bool(a and text[a - 1] not in BREAK) or bool(b < len(text) and text[b - 1] not in BREAK)
+            reach = starts[i] if i < len(starts) and starts[i] < a else (low if _inside(text, a) else a)
+        hard = _inside(text, a) or _inside(text, b)
         out.append((reach, b, a - reach, "hard" if hard else "natural"))
     return out
 
