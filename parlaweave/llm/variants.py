@@ -134,7 +134,8 @@ def fit(words: list[dict], entry: dict) -> tuple[float, int, bool, bool] | None:
     terms: dict[str, list[tuple[int, int]]] = {}
     for t, pos, n in entry["terms"]:
         terms.setdefault(t, []).append((pos, n))
-    for w in sorted(words, key=lambda w: ("full", "pair", "abbr", "initial").index(w["kind"])):  # what is written out chooses first
+    exact = lambda w: any(not d and r in terms for r, d in w["near"])
+    for w in sorted(words, key=lambda w: (("full", "pair", "abbr", "initial").index(w["kind"]), not exact(w))):  # what is written out chooses first, and of that what needs no edit
         best: tuple[float, int, int, int] | None = None
         for r, d in w["near"]:
             for pos, n in terms.get(r, ()):
@@ -164,7 +165,22 @@ def fit(words: list[dict], entry: dict) -> tuple[float, int, bool, bool] | None:
 
 
 def link(words: list[dict], party: str, state: str, acronym: str, entries: list[dict]) -> int | None:
-    """The one entry that is meant, None if there is none or several fit alike."""
+    """The one entry that is meant, None if there is none or several fit alike.
+
+    A word of the register is meant as it is where an entry fits so; only if none does, it may be another one mistyped."""
+    meant = [w | {"near": [n for n in w["near"] if not n[1]]} if (w["t"], 0) in w["near"] else w for w in words]
+    ranked = _rank(meant, party, state, acronym, entries)
+    if (not ranked or ranked[0][0] < 0.6) and meant != words:
+        ranked = _rank(words, party, state, acronym, entries)
+    if not ranked or ranked[0][0] < 0.6:
+        return None
+    if len(ranked) > 1 and ranked[0][0] - ranked[1][0] < 0.0099:
+        return None
+    return ranked[0][1]
+
+
+def _rank(words: list[dict], party: str, state: str, acronym: str, entries: list[dict]) -> list[tuple[float, int]]:
+    """(score, entry) of the entries that fit, best first."""
     ranked: list[tuple[float, int]] = []
     solid = [w for w in words if w["kind"] != "initial"]
     for e in entries:
@@ -199,12 +215,7 @@ def link(words: list[dict], party: str, state: str, acronym: str, entries: list[
             best = score if best is None else max(best, score)
         if best is not None:
             ranked.append((best, e["entry_id"]))
-    ranked.sort(reverse=True)
-    if not ranked or ranked[0][0] < 0.6:
-        return None
-    if len(ranked) > 1 and ranked[0][0] - ranked[1][0] < 0.0099:
-        return None
-    return ranked[0][1]
+    return sorted(ranked, reverse=True)
 
 
 def _variants(words: list[dict]) -> list[list[dict]]:
@@ -241,18 +252,18 @@ def _walk(key: tuple, typed: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["t", "abbr", "term", "d"])
 
 
-def trie_join(typed: DataFrame, known: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+def trie_join(typed: DataFrame, known: DataFrame, shard_words: int = SHARD_WORDS, every: bool = False) -> DataFrame:
     """Pairs of typed words (``t``, ``abbr``) and register words (``term``) in bounded distance ``d``.
 
-    A word of the register is meant as it is; only unknown words are taken for mistyped ones and walk the tries.  ``known`` is cut
+    A word of the register meets itself only, unless ``every`` word is to walk the tries as unknown ones do.  ``known`` is cut
     into shards of about ``shard_words``; each typed word visits every shard, spread over tasks by a salt."""
     spark = typed.sparkSession
     shards = max(1, -(-known.count() // shard_words))
     tasks = max(2 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
     salts = max(1, 4 * tasks // shards)  # several groups a task, or chance leaves some tasks with three and some with none
     found = typed.join(known, typed["t"] == known["term"], "left").select("t", "abbr", "term")
-    exact = found.where("term is not null").select("t", "abbr", "term", F.lit(0).alias("d"))
-    walkers = found.select("t", "abbr", F.col("term").isNotNull().alias("exact")).where("abbr or not exact")
+    exact = found.where(F.lit(not every)).where("term is not null").select("t", "abbr", "term", F.lit(0).alias("d"))
+    walkers = found.select("t", "abbr", (F.col("term").isNotNull() & F.lit(not every)).alias("exact")).where("abbr or not exact")
     left = walkers.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(salts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = known.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # a given number of tasks: the words are few bytes but much work, so they must not be coalesced
@@ -317,7 +328,7 @@ def link_names(records: DataFrame, register: DataFrame) -> DataFrame:
 
     def neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         words = rows.where("kind <> 'initial'").select("t", (F.col("kind") == "abbr").alias("abbr")).distinct()
-        near = checkpoint(trie_join(words, known).join(df, "term"))
+        near = checkpoint(trie_join(words, known, every=True).join(df, "term"))
         grouped = near.groupBy("t", "abbr").agg(F.collect_list(F.struct("term", "d")).alias("near"), F.sum("df").alias("df"))
         return near, rows.withColumn("abbr", F.col("kind") == "abbr").join(grouped, ["t", "abbr"], "left")
 
