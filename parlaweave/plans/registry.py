@@ -522,6 +522,49 @@ def layout_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return graph.layout(graph.edge_kinds(e, R.nation_regions(spark, d)).select("graph_id", "src", "dst", "layout_weight"))
 
 
+# The operators above on the mention graphs of speeches, all rows of them, with the communities found there.  Louvain has no SQL, so these have none.
+def _mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = checkpoint(R.speech_edges(spark, d))
+    return e, checkpoint(graph.louvain(e))
+
+
+@query()
+def path_average_speeches(spark: SparkSession, d: str) -> DataFrame:
+    return graph.path_summary(checkpoint(R.speech_edges(spark, d))).select("graph_id", "avg_distance", "reachable_pairs")
+
+
+@query()
+def path_diameter_speeches(spark: SparkSession, d: str) -> DataFrame:
+    return graph.path_summary(checkpoint(R.speech_edges(spark, d))).select("graph_id", "diameter")
+
+
+@query()
+def modularity_speeches(spark: SparkSession, d: str) -> DataFrame:
+    return graph.modularity(*_mentions(spark, d))
+
+
+@query()
+def community_leaders_speeches(spark: SparkSession, d: str) -> DataFrame:
+    e, members = _mentions(spark, d)
+    return graph.leaders(members, graph.degrees(e))
+
+
+@query()
+def edge_intra_inter_speeches(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edge_kinds(*_mentions(spark, d))
+
+
+@query()
+def vertex_plot_sizes_speeches(spark: SparkSession, d: str) -> DataFrame:
+    e, members = _mentions(spark, d)
+    return graph.vertex_sizes(members, graph.degrees(e))
+
+
+@query()
+def layout_coordinates_speeches(spark: SparkSession, d: str) -> DataFrame:
+    return graph.layout(graph.edge_kinds(*_mentions(spark, d)).select("graph_id", "src", "dst", "layout_weight"))
+
+
 @query()
 def gexf_document(spark: SparkSession, d: str) -> DataFrame:
     rows = checkpoint(R.mention_rows(spark, d))
