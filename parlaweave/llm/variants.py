@@ -31,6 +31,7 @@ _ACRONYM = re.compile(r"\s*\(([A-Z]{3,12})\)\s*$")
 _ONE = np.uint64(1)
 #: Letters of a word that one integer of the automaton holds; longer words walk alone.
 _WIDE = 61
+_FEW = 10
 
 
 def bound(length: int) -> int:
@@ -62,20 +63,21 @@ class Trie:
 
     def near(self, word: str, most: int) -> list[tuple[str, int]]:
         """(word of the trie, edits) of all words in reach of one typed word of any length."""
-        place: dict[str, int] = {}
-        for i, c in enumerate(word, 1):
-            place[c] = place.get(c, 0) | 1 << i
-        full, goal, out = (1 << len(word) + 1) - 1, 1 << len(word), []
-        todo: list[tuple] = [(0, [(1 << min(d, len(word)) + 1) - 1 for d in range(most + 1)], None, 0)]
+        return list(self._alone(0, [(1 << min(d, len(word)) + 1) - 1 for d in range(most + 1)], None, 0, _places(word), len(word)))
+
+    def _alone(self, node: int, now: list[int], before: list[int] | None, last: int, place: dict[str, int], size: int) -> Iterator[tuple[str, int]]:
+        """The walk of one word from a node on."""
+        full, goal = (1 << size + 1) - 1, 1 << size
+        todo: list[tuple] = [(node, now, before, last)]
         while todo:
             node, now, before, last = todo.pop()
             if self.ends[node] >= 0 and (d := next((d for d, r in enumerate(now) if r & goal), -1)) >= 0:
-                out.append((self.words[self.ends[node]], d))
+                yield self.words[self.ends[node]], d
             for c, child in self.kids[node]:
-                new = _step(now, before, place.get(c, 0), last, full)
+                here = place.get(c, 0)
+                new = _step(now, before, here, last, full)
                 if new[-1]:
-                    todo.append((child, new, now, place.get(c, 0)))
-        return out
+                    todo.append((child, new, now, here))
 
     def near_many(self, words: list[str], most: int) -> Iterator[tuple[str, str, int]]:
         """(typed word, word of the trie, edits) for many typed words of at most ``_WIDE`` letters at once."""
@@ -92,6 +94,13 @@ class Trie:
         todo: list[tuple] = [(0, np.arange(len(words)), first, None, None)]
         while todo:
             node, who, now, before, last = todo.pop()
+            if len(who) <= _FEW:  # arrays don't pay for a few words
+                for k, i in enumerate(who.tolist()):
+                    own = _places(words[i])
+                    state = [int(r[k]) for r in now], None if before is None else [int(r[k]) for r in before]
+                    for w, d in self._alone(node, *state, own.get(last, 0), own, len(words[i])):
+                        yield words[i], w, d
+                continue
             if self.ends[node] >= 0:
                 want, seen = goal[who], np.zeros(len(who), bool)
                 for d, r in enumerate(now):
@@ -123,6 +132,14 @@ class Trie:
         return out
 
 
+def _places(word: str) -> dict[str, int]:
+    """The places of each letter in a word, counted from 1, as bits."""
+    place: dict[str, int] = {}
+    for i, c in enumerate(word, 1):
+        place[c] = place.get(c, 0) | 1 << i
+    return place
+
+
 def _step(now: list, before: list | None, here, last, full, one=1, two=2) -> list:
     """The automaton's sets after a letter: ``here`` and ``last`` are the places of this and the previous letter in the typed word."""
     new = [(now[0] << one) & here]
@@ -275,9 +292,9 @@ class Index:
                 continue
             spellings = [x for x in (spellings if spellings is not None else []) if x]
             acronyms = {fold(x) for x in spellings if re.fullmatch(r"[A-Z]{2,12}", x)}
-            spelled = {tuple(t for t, _ in parse_name(x)[0]) for x in spellings}
-            known = set(_words(canonical))
-            names = [canonical, *(x for x in spellings if fold(x) not in acronyms and not set(ts := [t for t, _ in parse_name(x)[0]]) <= known and ts and all(len(t) > 1 for t in ts))]
+            listed = [(x, tuple(t for t, _ in parse_name(x)[0])) for x in spellings]
+            spelled, known = {ts for _, ts in listed}, set(_words(canonical))
+            names = [canonical, *(x for x, ts in listed if fold(x) not in acronyms and not known.issuperset(ts) and all(len(t) > 1 for t in ts))]
             made = []
             for x in names:
                 terms: dict[str, list[tuple[int, int]]] = {}
@@ -295,15 +312,15 @@ class Index:
     def near(self, words: list[tuple[str, bool]]) -> Iterator[tuple[str, bool, str, int]]:
         """(typed word, whether it is abbreviated, term, edits) of typed words."""
         by_bound: dict[int, list[str]] = {}
+        asked = set(words)
         for t in {t for t, _ in words}:
             if len(t) > _WIDE:
                 for r, d in self.trie.near(t, bound(len(t))):
-                    yield from ((t, abbr, r, d) for abbr in (False, True) if (t, abbr) in words)
+                    yield from ((t, abbr, r, d) for abbr in (False, True) if (t, abbr) in asked)
             elif bound(len(t)):
                 by_bound.setdefault(bound(len(t)), []).append(t)
             elif t in self.holders:
-                yield from ((t, abbr, t, 0) for abbr in (False, True) if (t, abbr) in words)
-        asked = set(words)
+                yield from ((t, abbr, t, 0) for abbr in (False, True) if (t, abbr) in asked)
         for most, some in by_bound.items():
             for t, r, d in self.trie.near_many(some, most):
                 yield from ((t, abbr, r, d) for abbr in (False, True) if (t, abbr) in asked)
