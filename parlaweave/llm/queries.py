@@ -78,6 +78,13 @@ def p8_mix_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixed, sized, targets, "source", "n_tokens")
 
 
+def p8_mix_shares_met(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source, what was there and whether share and cap are kept."""
+    rows = p8_mix_shares(spark, d).where("target_share is not null")
+    met = (F.abs(F.col("actual_share") - F.col("target_share")) < 0.001).alias("share_met")
+    return rows.select("source", "target_share", "max_repeat", "n_docs", met, (F.col("most_copies") <= F.col("max_repeat")).alias("cap_kept"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled.find_garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
