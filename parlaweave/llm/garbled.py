@@ -11,6 +11,7 @@ spans are damaged: a document tends to be damaged by one channel, so evidence ad
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,16 +62,27 @@ def _plausible(c: str) -> bool:
     return 0xA0 <= ord(c) <= 0xFF or c in _SIGNS or c == LOST
 
 
+def _script(c: str) -> str:
+    """The alphabet a letter or mark is of, by its name; empty for other characters."""
+    return unicodedata.name(c, "").split(" ")[0].replace("HIRAGANA", "CJK").replace("KATAKANA", "CJK") if unicodedata.category(c)[0] in "LM" else ""
+
+
+def _right(text: str, codec: str) -> bool:
+    """Whether a decoding may be right: Western letters and signs, or, from bytes of UTF-8, other Latin letters, a word in one other alphabet, or a pictograph."""
+    other = [c for c in text if ord(c) > 0x7F and not _plausible(c) and not (codec == "utf-8" and 0xFF < ord(c) < 0x180)]
+    if not other or codec != "utf-8":
+        return not other
+    letters = [s for c in other if (s := _script(c))]
+    if any(not _script(c) and ord(c) < 0x10000 for c in other):
+        return False
+    return not letters or len(letters) > 1 and len(set(letters)) == 1 and letters[0] != "COMBINING" and not any(c.isascii() and c.isalpha() for c in text)
+
+
 def _decode(lattice: list[int | None], codec: str, last: bool = True) -> str | None:
     """The text of a byte lattice; None if the bytes are no text of ``codec``, or no plausible one at the ``last`` step."""
     if codec != "utf-8":
-        out = []
-        for b in lattice:
-            c = LOST if b is None else bytes([b]).decode(codec, "replace")
-            if last and ord(c) > 0x7F and not _plausible(c):
-                return None
-            out.append(c)
-        return "".join(out)
+        text = "".join(LOST if b is None else bytes([b]).decode(codec, "replace") for b in lattice)
+        return text if not last or _right(text, codec) else None
     out, i, n = [], 0, len(lattice)
     while i < n:
         b = lattice[i]
@@ -80,15 +92,15 @@ def _decode(lattice: list[int | None], codec: str, last: bool = True) -> str | N
         elif b < 0x80:
             out.append(chr(b))
             i += 1
-        elif 0xC2 <= b < 0xF0:
-            need = 1 if b < 0xE0 else 2
+        elif 0xC2 <= b < 0xF5:
+            need = 1 if b < 0xE0 else 2 if b < 0xF0 else 3
             tail = lattice[i + 1 : i + 1 + need]
             got = 0
             while got < len(tail) and (tail[got] is None or 0x80 <= tail[got] < 0xC0):
                 got += 1
             if got == need and None not in tail:
                 c = bytes([b, *tail]).decode("utf-8", "replace")
-                if len(c) != 1 or last and not _plausible(c):
+                if len(c) != 1 or c == LOST:
                     return None
                 out.append(c)
             elif b in (0xC2, 0xC3, 0xE2):  # a lead byte without its continuation: a lost character
@@ -98,7 +110,8 @@ def _decode(lattice: list[int | None], codec: str, last: bool = True) -> str | N
             i += 1 + got
         else:
             return None
-    return "".join(out)
+    text = "".join(out)
+    return text if not last or _right(text, codec) else None
 
 
 def decodings(token: str) -> list[tuple[int, str]]:
@@ -173,6 +186,12 @@ def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["token", "channel", "cand", "odd"])
 
 
+def _filled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        made = [c if w is None else fill(c, w) for c, w in zip(pdf["cand"], pdf["word"])]
+        yield pd.DataFrame({"token": pdf["token"], "channel": pdf["channel"], "made": made, "score": pdf["score"]})
+
+
 def contested_tokens(docs: DataFrame, text: str) -> DataFrame:
     """Tokens for which some decoding beats the token itself: ``token`` and ``ways``, an array of (channel, text, score)."""
     tokens = checkpoint(docs.select(F.explode(_tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))  # read four times
@@ -183,13 +202,12 @@ def contested_tokens(docs: DataFrame, text: str) -> DataFrame:
     # the most frequent word for each shape with its letters beyond ASCII lost
     shapes = words.where(F.col("core").rlike("[^\\x00-\\x7F]")).groupBy(F.regexp_replace("core", "[^\\x00-\\x7F]", LOST).alias("core")).agg(F.max_by("core", F.struct("n", "core")).alias("word"), F.max("n").alias("n_shape"))
     scored = cands.join(words, "core", "left").join(shapes, "core", "left")
-    made = F.udf(fill, "string")
     n = F.coalesce(F.when(F.col("word").isNotNull(), F.col("n_shape")), F.col("n"), F.lit(0))
     score = F.log((n + 0.1) / F.lit(float(total))) - F.when(F.col("odd"), F.lit(IMPROBABLE)).otherwise(0.0) - F.when(F.col("cand").contains(LOST), F.lit(FILL)).otherwise(0.0)
     # an unknown word decoded from single bytes is no evidence by itself; it may follow the channel of its neighbours
     weak = F.col("channel").isin([k for k, (_, s) in enumerate(CHANNELS) if s and s[-1][1] != "utf-8"]) & (n < 2)
     score = score - F.when(weak, F.lit(WEAK)).otherwise(0.0)
-    scored = scored.select("token", "channel", F.when(F.col("word").isNotNull(), made("cand", "word")).otherwise(F.col("cand")).alias("made"), score.alias("score"))
+    scored = scored.select("token", "channel", "cand", "word", score.alias("score")).mapInPandas(_filled, "token string, channel int, made string, score double")
     ways = scored.groupBy("token", "channel").agg(F.max_by("made", F.struct("score", "made")).alias("made"), F.max("score").alias("score"))
     ways = ways.where((F.col("channel") == 0) | (F.col("made") != F.col("token")) | F.col("made").contains(LOST))
     best = ways.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("channel", "made", "score"))).alias("ways"))
@@ -225,7 +243,7 @@ def best_path(ways: list[list[tuple[int, str, float]]]) -> list[int]:
 def _settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         rows = []
-        for doc, spans in zip(pdf["doc"], pdf["spans"]):
+        for doc, text_key, spans in zip(pdf["doc"], pdf["text_key"], pdf["spans"]):
             spans = sorted(spans, key=lambda s: s["pos"])
             ways = [[(w["channel"], w["made"], w["score"]) for w in s["ways"]] for s in spans]
             fixes = []
@@ -235,35 +253,42 @@ def _settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if k or lost:
                     fixes.append({"pos": int(s["pos"]), "channel": CHANNELS[k or LOST_STATE][0], "was": s["token"], "now": made})
             if fixes:
-                rows.append((doc, fixes))
-        yield pd.DataFrame(rows, columns=["doc", "fixes"])
+                rows.append((doc, text_key, fixes))
+        yield pd.DataFrame(rows, columns=["doc", "text_key", "fixes"])
+
+
+def _text_key(text: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(text))
 
 
-def find_garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Documents with damaged spans: ``key`` and ``fixes``, an array of (pos, channel, was, now) by token position.
+def find_garbled(docs: DataFrame, key: str, text: str, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """Documents with damaged spans: ``key``, ``text_key`` (16 bytes for the text) and ``fixes``, an array of (pos, channel, was, now) by token position.
 
-    ``now`` is the restored token; one that can't be restored keeps U+FFFD for lost characters, or stays.
-    Null and empty texts are never damaged; equal texts under several keys are all reported, a repeated key's rows
-    count as one document each text; an empty table gives an empty result; other columns are ignored.
+    ``now`` is the restored token; one that can't be restored keeps U+FFFD for lost characters, or stays.  Found are texts of any alphabet in UTF-8
+    that were read in a one-byte encoding, Western texts in one one-byte encoding read in another, and lost characters.
+    Null and empty texts are never damaged; equal texts under several keys are all reported; a key with several texts, the null key too, has a row
+    for each; equal rows give one row; an empty table gives an empty result; other columns are ignored.
     """
     kind = dict(docs.dtypes)[key]
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where("t is not null").dropDuplicates(["doc", "t"])
+    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where("t is not null")
     contested = checkpoint(contested_tokens(texts, "t"))
-    spots = texts.select("doc", F.posexplode(_tokens(F.col("t"))).alias("pos", "token")).where(F.col("token").rlike("[^\\x00-\\x7F]|\\p{L}\\?\\p{L}"))
+    spots = texts.select("doc", _text_key(F.col("t")).alias("text_key"), F.posexplode(_tokens(F.col("t"))).alias("pos", "token")).where(F.col("token").rlike("[^\\x00-\\x7F]|\\p{L}\\?\\p{L}"))
     # beyond the bound the join shuffles by token, and adaptive execution splits hot ones
-    hit = spots.join(F.broadcast(contested) if contested.count() <= BROADCAST_TOKENS else contested, "token")
-    return hit.groupBy("doc").agg(F.collect_list(F.struct("pos", "token", "ways")).alias("spans")).mapInPandas(_settle, f"doc {kind}, fixes array<struct<pos: int, channel: string, was: string, now: string>>").withColumnRenamed("doc", key)
+    hit = spots.join(F.broadcast(contested) if contested.count() <= broadcast_tokens else contested, "token")
+    spans = hit.groupBy("doc", "text_key").agg(F.collect_set(F.struct("pos", "token", "ways")).alias("spans"))
+    return spans.mapInPandas(_settle, f"doc {kind}, text_key binary, fixes array<struct<pos: int, channel: string, was: string, now: string>>").withColumnRenamed("doc", key)
 
 
 def restore(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The damaged documents with ``restored`` text; white space stays as it was."""
-    fixed = find_garbled(docs, key, text)
-    both = docs.select(key, F.col(text).alias("_text")).join(fixed, key)
+    """The damaged documents with ``restored`` text; white space stays as it was.  A row for each distinct text of a key."""
+    fixed = find_garbled(docs, key, text).withColumnsRenamed({key: "_key", "text_key": "_text_key"})
+    rows = docs.select(key, F.col(text).alias("_text")).where("_text is not null")
+    both = rows.join(fixed, rows[key].eqNullSafe(fixed["_key"]) & (_text_key(F.col("_text")) == fixed["_text_key"])).dropDuplicates(["_key", "_text_key"]).select(key, "_text", "fixes")
 
     def rebuild(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            pdf = pdf[pdf["_text"].notna()]
             for k, t, fixes in zip(pdf[key], pdf["_text"], pdf["fixes"]):
                 now = {f["pos"]: (f["was"], f["now"]) for f in fixes}
                 parts, at = [], 0

@@ -86,7 +86,7 @@ def p8_mix_shares_met(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return garbled.find_garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+    return garbled.find_garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id").distinct()
 
 
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
