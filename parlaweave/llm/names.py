@@ -38,23 +38,33 @@ def tokens(text: str | None) -> list[str]:
 
 
 def distance(a: str, b: str, most: int = 3) -> int:
-    """Edits from ``a`` to ``b`` with neighbours swapped counting one (optimal string alignment); ``most + 1`` beyond ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+    """Edits from ``a`` to ``b`` with neighbours swapped counting one (optimal string alignment); ``most + 1`` beyond ``most``.
+
+    Hyyrö's bit-vectors: a column of the matrix of distances is held as its rises and falls, a bit a letter of ``a``."""
     if a == b:
         return 0
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            n = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                n = min(n, before[j - 2] + 1)
-            row.append(n)
-        if min(row) > most:
-            return most + 1
-        before, last = last, row
-    return min(last[-1], most + 1)
+    n = len(a)
+    if abs(n - len(b)) > most:
+        return most + 1
+    if not n:
+        return len(b)
+    place: dict[str, int] = {}
+    for i, c in enumerate(a):
+        place[c] = place.get(c, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << n - 1
+    rise, fall, same, last, score = full, 0, 0, 0, n
+    for c in b:
+        here = place.get(c, 0)
+        swapped = ((~same & here) << 1) & last
+        same = (((here & rise) + rise) ^ rise) | here | fall | swapped
+        up = fall | ~(same | rise) & full
+        down = same & rise
+        score += bool(up & top) - bool(down & top)
+        up = up << 1 | 1
+        rise = ((down << 1) | ~(same | up)) & full
+        fall = up & same & full
+        last = here
+    return min(score, most + 1)
 
 
 def allowed(length: int) -> int:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,25 +21,34 @@ from .names import GENERATION, allowed, distance, fold, same_given, tokens
 
 # Time stamps, titles, voices without a name, fillers and annotations as they are written in the transcripts.
 STAMP = r"(?:\[\d{1,3}:\d\d(?::\d\d)?(?:\.\d+)?\]|\(\d{1,2}h\d\d\)|<\d{1,4}:\d\d(?:\.\d+)?>|\b\d{1,3}:\d\d:\d\d\b)"
+_STAMP = re.compile(STAMP)
 ROLES = {
     "presidente": "chair", "presidenta": "chair", "pres": "chair", "presid": "chair",
     "deputado": "", "deputada": "", "dep": "", "senador": "", "senadora": "", "sen": "", "sr": "", "sra": "", "o": "", "a": "", "senhor": "", "senhora": "", "vereador": "", "vereadora": "", "ver": "", "dr": "", "dra": "", "exmo": "", "exma": "",
 }
 NOBODY = re.compile(r"\b(?:n[aã]o identificad[oa]|inaud[ií]vel|desconhecid[oa]|oradora?|voz|plateia|participante)\b", re.I)
+# Each pattern begins with the letters or signs a match may begin with, so that the text between is passed over quickly.
 FILLERS = re.compile(
-    r"(?<![\w-])(?:tipo assim|hum-hum|h[ãa]-h[ãa]|ah?n+|ahn+|ahm+|h[ãâ]n*|[ãâ]h+n*|hu+m+|h+m+|é{2,}|eh+|ã+|n[ée]|uh+|ai+n+|bom, é|quer dizer assim)(?![\w-])[,.…]*", re.I
+    r"[AaÃãÂâBbEeÉéHhNnQqTtUu](?<![\w-].)(?i:(?<=t)ipo assim|(?<=h)(?:um-hum|[ãa]-h[ãa]|[ãâ]n*|u+m+|m+)|(?<=a)(?:h?n+|hm+|i+n+)|(?<=[ãâ])h+n*|(?<=ã)ã*|(?<=é)é+|(?<=e)h+|(?<=n)[ée]|(?<=u)h+|(?<=b)om, é|(?<=q)uer dizer assim)(?![\w-])[,.…]*"
+)
+ANNOTATION = re.compile(
+    r"[(\[<*\u2600-\u27BF\uFE0F\u200D\U0001F300-\U0001FAFF](?:(?<=\()(?:\([^()]*\)\)|[A-ZÀ-Ý][^()\n]*[.!]\))|(?<=<)<[^<>]*>>|(?<=\[)[^\[\]\n]*\]|(?<=\*)[^*\n]+\*|(?<=[\u2600-\U0001FAFF])[\u2600-\u27BF\uFE0F\u200D\U0001F300-\U0001FAFF]*|(?<=\u200D)[\u2600-\u27BF\uFE0F\u200D\U0001F300-\U0001FAFF]*)"
 )
-ANNOTATION = re.compile(r"\(\([^()]*\)\)|<<[^<>]*>>|\[[^\[\]\n]*\]|\*[^*\n]{1,60}\*|\([A-ZÀ-Ý][^()\n]*[.!]\)|[\u2600-\u27BF\uFE0F\u200D\U0001F300-\U0001FAFF]+")
 
 _END = r"(?:[^\S\n]*:(?=\s|$)|[^\S\n]+[-–—](?=\s|$))"
-_PAREN = r"(?:[^\S\n]*\((?P<paren>[^()\n]{1,160})\))?"
+_PAREN = r"(?:[^\S\n]*\((?P<paren>[^()\n]+)\))?"
 _TITLE = r"(?:(?:[OA]\s+)?(?:SRA?|Sra?)\.|(?:Pres|Presid|PRES|PRESID|Dep|DEP|Sen|SEN|Ver|VER)\.|Deputad[oa]|DEPUTAD[OA]|Senadora?|SENADORA?|Vereadora?|VEREADORA?|President[ea]|PRESIDENT[EA])"
+#: Where a line begins, and what may stand there before a label.
+_LINE = re.compile(r"^", re.M)
+_BEFORE = rf"[^\S\n]*(?:{STAMP}[^\S\n]*(?:[-–—][^\S\n]*)?)*"
 #: At the start of a line, after an optional time stamp.
-AT_LINE = re.compile(rf"^[^\S\n]*(?:{STAMP}[^\S\n]*(?:[-–—][^\S\n]*)?)*(?P<label>(?P<head>[^\W\d_][^:\n()–—]{{0,110}}?){_PAREN}){_END}", re.M)
+AT_LINE = re.compile(rf"{_BEFORE}(?P<label>(?P<head>[^\W\d_][^:\n()–—]*?){_PAREN}){_END}", re.M)
 _AT_TITLE = re.compile(_TITLE + r"(?=[\s.]|$|(?<=\.))")
 #: Inside a line only the full stenographic form starts a stretch: article, title and name in capitals.
-IN_LINE = re.compile(rf"(?:(?<=[.!?…)\]>*\"”:;,]\s)|(?<=\s\s)|(?<=\d\s)|(?<=[-–—]\s)|^[^\S\n]*)(?P<label>(?P<title>(?:O SR|A SRA)\.)[^\S\n]+(?P<name>[^\W\d_a-zà-ÿ][^a-zà-ÿ()\n:–—]{{0,90}}?){_PAREN}){_END}", re.M)
-ALONE = re.compile(rf"^[^\S\n]*(?:{STAMP}[^\S\n]*(?:[-–—][^\S\n]*)?)*(?P<label>\((?P<paren>[^()\n]*identificad[oa][^()\n]*)\)){_END}", re.M | re.I)
+_STENO = re.compile(r"O SR\.|A SRA\.")
+_MAY_FOLLOW = re.compile(r"(?:[.!?…)\]>*\"”:;,]\s|\s\s|\d\s|[-–—]\s|(?:^|\n)[^\S\n]*)\Z")
+IN_LINE = re.compile(rf"(?P<label>(?P<title>(?:O SR|A SRA)\.)[^\S\n]+(?P<name>[^\W\d_a-zà-ÿ][^a-zà-ÿ()\n:–—]*?){_PAREN}){_END}", re.M)
+ALONE = re.compile(rf"{_BEFORE}(?P<label>\((?P<paren>[^()\n]*identificad[oa][^()\n]*)\)){_END}", re.M | re.I)
 
 
 @dataclass
@@ -63,9 +72,19 @@ def _affiliation(paren: str) -> tuple[str, str, str]:
     return ((m["name"] or "").strip(), fold(m["party"]), fold(m["state"])) if m else (paren.strip(), "", "")
 
 
+_WORD = re.compile(r"[^\W\d_][\w'’]*")
+_SMALL = ("de", "da", "do", "dos", "das", "e", "di", "del")
+
+
 def _capitalised(name: str) -> bool:
-    words = [w for w in re.findall(r"[^\W\d_][\w'’]*", name) if fold(w) not in ("de", "da", "do", "dos", "das", "e", "di", "del")]
-    return bool(words) and all(w[0].isupper() for w in words)
+    """Every word of a name begins with a capital, particles apart."""
+    some = False
+    for m in _WORD.finditer(name):  # ordinary text ends at its first small word
+        if (w := m.group())[0].isupper():
+            some = some or fold(w) not in _SMALL
+        elif fold(w) not in _SMALL:
+            return False
+    return some
 
 
 def parse(m: re.Match[str]) -> Label | None:
@@ -76,7 +95,7 @@ def parse(m: re.Match[str]) -> Label | None:
         t = _AT_TITLE.match(g["head"])
         title, name = (t.group(), g["head"][t.end() :]) if t else ("", g["head"])
     raw = m["label"].strip()
-    if not raw or len(raw) > 200:
+    if not raw:
         return None
     out = Label(m.start(), m.end(), raw=raw, titled=bool(title))
     if NOBODY.search(raw) and not re.search(r"\d", raw):
@@ -100,9 +119,30 @@ def parse(m: re.Match[str]) -> Label | None:
     return out
 
 
-def labels(text: str) -> list[Label]:
-    """Labels in order of place, without overlaps."""
-    found = [x for pattern in (ALONE, AT_LINE, IN_LINE) for m in pattern.finditer(text) if (x := parse(m))]
+def _matches(text: str) -> Iterator[re.Match[str]]:
+    """All places where a label may stand: at the beginning of a line, and at a stenographic introduction inside one."""
+    for line in _LINE.finditer(text):
+        for pattern in (ALONE, AT_LINE):
+            if m := pattern.match(text, line.start()):
+                yield m
+    for m in _STENO.finditer(text):
+        if _MAY_FOLLOW.search(text, max(0, text.rfind("\n", 0, m.start())), m.start()) and (found := IN_LINE.match(text, m.start())):
+            yield found
+
+
+def labels(text: str, known: dict[tuple, Label] | None = None) -> list[Label]:
+    """Labels in order of place, without overlaps.  ``known`` remembers what a label says: most come up again and again."""
+    known = {} if known is None else known
+    found = []
+    for m in _matches(text):
+        key = m.re, *m.groups()
+        if key in known:
+            found.append(replace(known[key], start=m.start(), end=m.end()))
+        elif x := parse(m):
+            if len(known) >= Distances.MOST:
+                known.clear()
+            known[key] = x
+            found.append(x)
     out: list[Label] = []
     for x in sorted(found, key=lambda x: (x.start, -x.end)):
         if not out or x.start >= out[-1].end:
@@ -112,12 +152,26 @@ def labels(text: str) -> list[Label]:
 
 def clean(speech: str) -> str:
     """Speech without time stamps, annotations and fillers, white space collapsed."""
-    speech = ANNOTATION.sub(" ", re.sub(STAMP, " ", speech))
-    speech = FILLERS.sub(" ", speech)
-    return re.sub(r"\s+", " ", speech).strip(" -–—")
+    speech = FILLERS.sub(" ", ANNOTATION.sub(" ", _STAMP.sub(" ", speech)))
+    return " ".join(speech.split()).strip(" -–—")
+
+
+class Distances(dict):
+    """Edit distances of pairs of words, and what labels say, remembered: the same names come up in many transcripts."""
+
+    MOST = 200_000
+
+    def __init__(self) -> None:
+        self.labels: dict[tuple, Label] = {}
+
+    def __missing__(self, pair: tuple[str, str]) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        d = self[pair] = distance(*pair)
+        return d
 
 
-def similarity(words: tuple[str, ...], full: tuple[str, ...]) -> float:
+def similarity(words: tuple[str, ...], full: tuple[str, ...], apart: Distances) -> float:
     """How well the words of a label fit a full name: 0 if a word fits nowhere, else up to 1."""
     if not words or not full:
         return 0.0
@@ -131,7 +185,7 @@ def similarity(words: tuple[str, ...], full: tuple[str, ...]) -> float:
                 s = 1.0
             elif len(w) == 1:
                 s = 0.55 if w == f[0] and i < len(full) - (len(words) > 1) else 0.0
-            elif (d := distance(w, f)) <= allowed(min(len(w), len(f))):
+            elif (d := apart[w, f]) <= allowed(min(len(w), len(f))):
                 s = 0.95 - 0.1 * d
             elif i == 0 and len(w) >= 2 and same_given(w, f):
                 s = 0.8
@@ -143,7 +197,7 @@ def similarity(words: tuple[str, ...], full: tuple[str, ...]) -> float:
                 best, at = s, i
         if at < 0:
             glued = [f + full[i + 1] for i, f in enumerate(full[:-1])]  # a missing space
-            if any(distance(w, g) <= 2 for g in glued):
+            if any(apart[w, g] <= 2 for g in glued):
                 total += 0.8
                 continue
             return 0.0
@@ -153,8 +207,9 @@ def similarity(words: tuple[str, ...], full: tuple[str, ...]) -> float:
     return total / len(words) if surname else 0.0
 
 
-def cluster(found: list[Label], roster: list[dict]) -> dict[tuple, int]:
+def cluster(found: list[Label], roster: list[dict], apart: Distances | None = None) -> dict[tuple, int]:
     """Speaker number of each label variant (key: words, party, state, gender)."""
+    apart = Distances() if apart is None else apart
     people = [(r["speaker_no"], tuple(tokens(r["word"])), fold(r["party"]), fold(r["state"]), fold(r["title"])) for r in roster]
     variants = list(dict.fromkeys((x.words, x.party, x.state, x.gender) for x in found if x.words))
     parent = {**{("r", p[0]): ("r", p[0]) for p in people}, **{("l", v): ("l", v) for v in variants}}
@@ -171,11 +226,11 @@ def cluster(found: list[Label], roster: list[dict]) -> dict[tuple, int]:
         words, party, state, gender = v
         scores: dict[int, float] = {}
         for no, full, p, s, title in people:
-            score = similarity(words, full)
+            score = similarity(words, full, apart)
             if not score:
                 continue
             last = [f for f in full if f not in GENERATION]
-            if last and any(distance(w, last[-1]) <= allowed(len(w)) for w in words):
+            if last and any(apart[w, last[-1]] <= allowed(len(w)) for w in words):
                 score += 0.05  # the last surname counts more than one in the middle
             for given, known in ((party, p), (state, s)):
                 if given and known:
@@ -191,7 +246,7 @@ def cluster(found: list[Label], roster: list[dict]) -> dict[tuple, int]:
         for u in variants[i + 1 :]:
             if v[1] and u[1] and v[1] != u[1] or len(v[0]) != len(u[0]) or any(a[0] != b[0] for a, b in zip(v[0], u[0])):
                 continue
-            gap = sum(distance(a, b) for a, b in zip(v[0], u[0]))
+            gap = sum(apart[a, b] for a, b in zip(v[0], u[0]))
             if gap <= 2 and len(v[0]) > 1 and all(len(w) > 1 for w in v[0] + u[0]):
                 edges.append((0.44 - 0.01 * gap, ("l", v), ("l", u)))
     for _, a, b in sorted(edges, key=lambda e: -e[0]):
@@ -204,12 +259,13 @@ def cluster(found: list[Label], roster: list[dict]) -> dict[tuple, int]:
     return {v: person.get(root(("l", v)), 0) for v in variants}
 
 
-def turns_of(text: str | None, roster: list[dict]) -> list[tuple[int, int, str]]:
+def turns_of(text: str | None, roster: list[dict], apart: Distances | None = None) -> list[tuple[int, int, str]]:
     """(turn number, speaker number, clean speech) of one transcript."""
     if not text or not text.strip():
         return []
-    found = labels(text)
-    who = cluster(found, roster)
+    apart = Distances() if apart is None else apart
+    found = labels(text, apart.labels)
+    who = cluster(found, roster, apart)
     chair = next((r["speaker_no"] for r in sorted(roster, key=lambda r: r["speaker_no"]) if fold(r["title"]).startswith("president")), 0)
 
     def speaker(x: Label) -> int:
@@ -246,10 +302,11 @@ def speaker_turns(transcripts: DataFrame, roster: DataFrame) -> DataFrame:
     people = people.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("people"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        apart = Distances()
         for pdf in frames:
             rows = []
             for d, t, p in zip(pdf["doc_id"], pdf["text"], pdf["people"]):
-                rows += [(d, *turn) for turn in turns_of(t, [] if p is None else [dict(x) for x in p])]
+                rows += [(d, *turn) for turn in turns_of(t, [] if p is None else [dict(x) for x in p], apart)]
             yield pd.DataFrame(rows, columns=["doc_id", "turn_no", "speaker_no", "speech"])
 
     return texts.join(people, "doc_id", "left").mapInPandas(run, "doc_id string, turn_no bigint, speaker_no bigint, speech string")

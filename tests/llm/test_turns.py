@@ -1,4 +1,8 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from parlaweave.llm import turns as T
+from parlaweave.llm.names import distance
 
 ROSTER = [
     {"speaker_no": 1, "title": "PRESIDENTE", "word": "Ademar Silva Flovares", "party": "AB", "state": "CE"},
@@ -44,3 +48,23 @@ def test_frames(spark):
     got = {(x.doc_id, x.turn_no, x.speaker_no) for x in T.speaker_turns(t, r).collect()}
     assert got == {("d", 1, 4), ("f", 1, 0), (None, 1, 0)}
     assert T.speaker_turns(t.limit(0), r).count() == 0 and T.speaker_turns(t, r.limit(0)).count() == 3
+
+
+def test_labels_of_any_length():
+    bloc = "Bloco " + "Progressista Parlamentar " * 12
+    assert numbers(f"A SRA. MARIA TORRES (CD - SP) - Oi.\nO SR. PRESIDENTE (Ademar Flovares. {bloc}/AB - CE) - Boa tarde.") == [(2, "Oi."), (1, "Boa tarde.")]
+    many = " ".join(["MARIA DA LUZ"] * 20)
+    assert numbers(f"PRESIDENTE: Oi.\nDEPUTADA {many} TORRES: Sim.")[1][1] == "Sim."
+    assert numbers("PRESIDENTE: Oi " + "*" + "vozes ao fundo e risos na galeria " * 5 + "* tudo bem.") == [(1, "Oi tudo bem.")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcã", max_size=9), st.text("abcã", max_size=9), st.integers(0, 4))
+def test_distance(a, b, most):
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y), before[j - 2] + 1 if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y else 99))
+        before, last = last, row
+    assert distance(a, b, most) == min(last[-1], most + 1)
