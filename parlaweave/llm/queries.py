@@ -50,6 +50,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.hard_starts(p5_pieces(spark, d), "doc_id")
 
 
+def p5_pieces_sound(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.soundness(p5_pieces(spark, d), table(spark, d, "transcript"), "doc_id", "text")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_groups(table(spark, d, "name_match"), "original_key", "canonical_key")
 

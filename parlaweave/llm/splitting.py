@@ -1,6 +1,7 @@
 """Splitting oversized items at natural boundaries (problem 5).
 
-A text is parsed into a tree: blank-line blocks, lines (a turn of a transcript is a line), sentences, clauses, words.
+A text is parsed into a tree: sections under headings of each level (marked by ``#``, by tags, or lines in capitals), blank-line
+blocks, blocks of markup, list items by indentation, lines (a turn of a transcript is a line), sentences, clauses, words.
 Sibling subtrees are merged bottom-up while their span fits the limit, and only nodes that are
 themselves too large are descended into.  A word has no boundary inside; one that fits a piece stays whole,
 at the cost of overlap, and only one above the limit is cut.  Each piece then reaches back over at most ``overlap``
@@ -14,24 +15,36 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Where a node of each level may end, coarse to fine.  Each match ends a child.
+#: Where a node of each level may end, coarse to fine.  Each match ends a child, always behind white space.
 LEVELS = [
+    *(re.compile(rf"[ \t\n\r](?=[ ]{{0,3}}#{{{n}}}[ \t]+\S|<h{n}\b)", re.I) for n in range(1, 7)),  # headings
+    re.compile(r"\n(?=[^\Wa-zà-ÿ_][^a-zà-ÿ\n.!?:;,]{3,}\n)"),  # lines in capitals that end no sentence
     re.compile(r"\n[ \t\r]*\n[ \t\n\r]*"),  # blank-line blocks
-    re.compile(r"[\n\r]+"),  # lines: turns, list items, headings
+    re.compile(r"[ \t\n\r](?=</?(?:p|div|section|article|table|blockquote|ul|ol|pre)\b)", re.I),  # blocks of markup
+    re.compile(r"[ \t\n\r](?=<(?:li|tr|dt|br)\b)", re.I),
+    *(re.compile(rf"\n(?={indent}(?:[-*•–]|\d+[.)]|[a-z]\))[ \t])") for indent in ("", r"[ \t]{1,3}", r"[ \t]{4,7}", r"[ \t]{8,}")),  # list items, outer first
+    re.compile(r"[\n\r]+"),  # lines: turns
     re.compile(r"[.!?…]+[\"”’)\]]*[ \t]+"),  # sentences
     re.compile(r"[,;:–—]+[ \t]+"),  # clauses
     re.compile(r"[ \t]+"),  # words
 ]
+#: From here on every text has levels of its own; of those before, only the ones that match somewhere count.
+_PLAIN = len(LEVELS) - 4
 BREAK = " \t\n\r"
 _HARD = re.compile(r"[^ \t\n\r]+")
 
 
-def _children(text: str, start: int, end: int, level: int) -> list[int]:
+def _levels(text: str) -> list[re.Pattern[str]]:
+    """The levels of a text's tree."""
+    return [x for x in LEVELS[:_PLAIN] if x.search(text)] + LEVELS[_PLAIN:]
+
+
+def _children(text: str, start: int, end: int, level: re.Pattern[str]) -> list[int]:
     """Ends of the children of [start, end) at ``level``."""
-    cuts = [m.end() for m in LEVELS[level].finditer(text, start, end) if start < m.end() < end]
+    cuts = [m.end() for m in level.finditer(text, start, end) if start < m.end() < end]
     return [*cuts, end]
 
 
@@ -49,18 +62,23 @@ def _cut(text: str, a: int, b: int, limit: int, longest: int) -> list[tuple[int,
     return [(a, first), *((i, min(i + limit, b)) for i in range(first, b, limit))]
 
 
-def pack(text: str, limit: int, start: int = 0, end: int | None = None, level: int = 0, longest: int | None = None) -> list[tuple[int, int]]:
-    """Tiles [start, end) with pieces of at most ``limit`` code points, or ``longest`` where a stretch without boundary needs more."""
-    todo, out = [(start, len(text) if end is None else end, level)], []
+def pack(text: str, limit: int, longest: int | None = None, uncut: list[int] | None = None) -> list[tuple[int, int]]:
+    """Tiles a text with pieces of at most ``limit`` code points, or ``longest`` where a stretch without boundary needs more.
+
+    ``uncut`` gets the starts of the nodes that have no boundary inside and don't fit ``longest``, in order."""
+    levels = _levels(text)
+    todo, out = [(0, len(text), 0)], []
     while todo:  # an explicit stack: depth does not depend on the text
         a, b, k = todo.pop()
         if b - a <= limit:
             out.append((a, b))
             continue
-        if k == len(LEVELS):  # one word, no boundary inside
+        if k == len(levels):  # one word, no boundary inside
+            if uncut is not None and (m := _HARD.match(text, a, b)) and m.end() - a > (longest or limit):
+                uncut.append(a)
             out += _cut(text, a, b, limit, longest or limit)
             continue
-        ends = _children(text, a, b, k)
+        ends = _children(text, a, b, levels[k])
         if len(ends) == 1:
             todo.append((a, b, k + 1))
             continue
@@ -90,11 +108,11 @@ def _join_small(pieces: list[tuple[int, int]], limit: int) -> list[tuple[int, in
     return out
 
 
-def split_text(text: str, limit: int = 1000, overlap: int = 200) -> list[tuple[int, int, int, str]]:
+def split_text(text: str, limit: int = 1000, overlap: int = 200, uncut: list[int] | None = None) -> list[tuple[int, int, int, str]]:
     """(start, end, shared, kind): pieces that cover the text; ``shared`` code points belong to the piece before too.
 
-    ``kind`` is ``hard`` if the piece begins or ends inside a stretch without space, tab or line break."""
-    tiles = pack(text, limit - overlap, longest=limit) if len(text) > limit else [(0, len(text))]
+    ``kind`` is ``hard`` if the piece begins or ends inside a stretch without space, tab or line break; ``uncut`` as for ``pack``."""
+    tiles = pack(text, limit - overlap, limit, uncut) if len(text) > limit else [(0, len(text))]
     starts = [m.start() for m in re.finditer(r"(?<=[ \t\n\r])[^ \t\n\r]", text)]
     out = []
     for k, (a, b) in enumerate(tiles):
@@ -108,15 +126,11 @@ def split_text(text: str, limit: int = 1000, overlap: int = 200) -> list[tuple[i
     return out
 
 
-def first_hard(text: str, limit: int) -> int:
-    return next((m.start() for m in _HARD.finditer(text) if m.end() - m.start() > limit), -1)
-
-
 def split_items(items: DataFrame, key: str, text: str, limit: int = 1000, overlap: int = 200) -> DataFrame:
     """Pieces of every item longer than ``limit`` code points: ``key``, ``piece_no`` (from 1), ``start``, ``end``, ``shared``, ``kind``, ``hard_start``.
 
-    ``hard_start`` is the start of the item's first stretch of more than ``limit`` code points without space, tab
-    or line break, -1 if there is none (so every piece boundary can be natural).  Items that fit, null and empty ones
+    ``hard_start`` is the start of the first node of the item's tree that has no boundary inside and is larger than ``limit`` (a stretch without
+    space, tab or line break), -1 if there is none (so every piece boundary is natural).  Items that fit, null and empty ones
     give no piece; equal rows (key and text) count once; a null key is a key; other columns are ignored.
     """
     if not 0 <= overlap < limit:
@@ -129,8 +143,9 @@ def split_items(items: DataFrame, key: str, text: str, limit: int = 1000, overla
         for pdf in frames:
             rows = []
             for k, t in zip(pdf[key], pdf["__text"]):
-                hard = first_hard(t, limit)
-                rows += [(k, n, a, b, shared, how, hard) for n, (a, b, shared, how) in enumerate(split_text(t, limit, overlap), 1)]
+                uncut: list[int] = []
+                pieces = split_text(t, limit, overlap, uncut)
+                rows += [(k, n, a, b, shared, how, uncut[0] if uncut else -1) for n, (a, b, shared, how) in enumerate(pieces, 1)]
             yield pd.DataFrame(rows, columns=[key, "piece_no", "start", "end", "shared", "kind", "hard_start"])
 
     return long.mapInPandas(run, f"`{key}` {kind}, piece_no bigint, start bigint, end bigint, shared bigint, kind string, hard_start bigint")
@@ -139,3 +154,12 @@ def split_items(items: DataFrame, key: str, text: str, limit: int = 1000, overla
 def hard_starts(pieces: DataFrame, key: str) -> DataFrame:
     """One row per split item: ``key`` and ``hard_start``."""
     return pieces.where("piece_no = 1").select(key, "hard_start").distinct()
+
+
+def soundness(pieces: DataFrame, items: DataFrame, key: str, text: str, limit: int = 1000, overlap: int = 200) -> DataFrame:
+    """Per split item (``key`` and text equal rows count once, keys with one text each): whether its pieces cover it without gap, keep ``limit`` and ``overlap``, and are cut hard anywhere."""
+    order = Window.partitionBy(key).orderBy("piece_no")
+    linked = pieces.withColumn("ok", F.col("start") + F.col("shared") == F.coalesce(F.lag("end").over(order), F.lit(0)))
+    told = linked.groupBy(key).agg(F.min("ok").alias("linked"), F.max("end").alias("last"), F.max(F.col("end") - F.col("start")).alias("longest"), F.max("shared").alias("shared"), F.max((F.col("kind") == "hard").cast("int")).alias("hard"))
+    size = items.select(key, F.length(text).alias("n")).where(F.col("n") > limit).distinct()
+    return size.join(told, key, "left").select(key, "n", (F.col("linked") & (F.col("last") == F.col("n"))).alias("covered"), (F.col("longest") <= limit).alias("limit_kept"), (F.col("shared") <= overlap).alias("overlap_kept"), (F.col("hard") > 0).alias("cut_hard"))

@@ -1,3 +1,5 @@
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -13,6 +15,10 @@ def _sound(text, limit, overlap):
     return pieces
 
 
+def _long(text, limit):
+    return [m.start() for m in re.finditer(r"[^ \t\n\r]+", text) if len(m.group()) > limit]
+
+
 def test_words_that_fit_stay_whole():
     para = "Uma frase curta aqui. Outra frase, com vírgula; e mais. "
     for n in (799, 800, 801, 950, 1000):
@@ -29,5 +35,28 @@ def test_words_that_fit_stay_whole():
 def test_hard_only_above_the_limit(text, limit, overlap):
     if text:
         pieces = _sound(text, limit, overlap)
-        if splitting.first_hard(text, limit) == -1:
+        if not _long(text, limit):
             assert {p[3] for p in pieces} == {"natural"}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["aaaaaaaaaaaa", "bb", " ", "\n", "\n\n", "# T\n", "\n## U ", "- x", "\n  - y", "<p>", " <h2>z", "\nCAPITAIS\n", ". ", ", ", "\t", "\xa0"]), max_size=40), st.integers(5, 30), st.integers(0, 4))
+def test_uncut_nodes_are_the_long_words(parts, limit, overlap):
+    text, uncut = "".join(parts), []
+    if len(text) > limit:
+        before = 0
+        for a, b, shared, _ in splitting.split_text(text, limit, overlap, uncut):
+            assert 0 < b - a <= limit and a + shared == before and 0 <= shared <= overlap
+            before = b
+        assert before == len(text) and uncut == _long(text, limit)
+
+
+def test_structure_decides_the_cuts():
+    body = "Texto corrido sem título nenhum. " * 6
+    for mark in ("## {}\n", "<h2>{}</h2>\n", "TÍTULO EM CAPITAIS\n"):
+        text = "\n".join(mark.format(i) + body for i in range(12))
+        starts = [a + shared for a, _, shared, _ in splitting.split_text(text, 1000, 200)]
+        assert all(text.startswith(mark.split("{")[0][:3], a) for a in starts), mark
+    nested = "\n".join(f"- item {i}\n" + "\n".join(f"  - parte {i}.{j} com mais algum texto para encher" for j in range(6)) for i in range(9))
+    starts = [a + shared for a, _, shared, _ in splitting.split_text(nested, 1000, 200)]
+    assert all(nested.startswith("- item", a) for a in starts)
