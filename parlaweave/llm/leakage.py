@@ -105,7 +105,7 @@ def _blocks(items: DataFrame, key: str, text: str, size: int) -> Iterator[list[t
     """Items in blocks of at most ``size`` words (one item may be longer); the driver holds one block at a time."""
     block, held = [], 0
     for row in items.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").toLocalIterator():
-        n = row.t.count(" ") + 1
+        n = len(words(row.t))
         if block and held + n > size:
             yield block
             block, held = [], 0
