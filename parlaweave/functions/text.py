@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import colorsys
 import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ MONTHS = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "
 
 
 def ascii_fold(c: Column) -> Column:
-    """Latin letters without their accents; other characters stay."""
-    return F.translate(c, "".join(a for a, _ in _LATIN), "".join(b for _, b in _LATIN))
+    """Latin letters without their accents, single characters or marks of their own; other characters stay."""
+    return F.regexp_replace(F.translate(c, "".join(a for a, _ in _LATIN), "".join(b for _, b in _LATIN)), r"\p{Mn}+", "")
 
 
 def squeeze(c: Column) -> Column:
@@ -27,15 +30,21 @@ def comparison_form(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(c), r'[.,;:!?()"\\]', ""))
 
 
+# A party and the state it is of, in a text whose white space is collapsed.
+_PARTY_OF_STATE = "[A-Z][A-Z]+ ?- ?[A-Z][A-Z]"
+
+
 def name_key(c: Column, faithful: bool = False) -> Column:
     """The key under which spellings of a name meet; null if fewer than two characters are left.
 
     Strips a trailing party and state, a bracketed one, one leading title, accents, case and punctuation.  By default a party and
-    state after a plain space go too; ``faithful`` keeps them, as only dash and slash count there."""
-    lead = r"\s*[-/]\s*" if faithful else r"(?:\s*[-/]\s*|\s+)"
-    x = F.trim(F.regexp_replace(c, lead + r"[A-Z]{2,}\s*-\s*[A-Z]{2}\s*\)?\s*$", ""))
-    x = F.trim(F.regexp_replace(x, r"(?iuU)\s*\((?:[^()/]*/)?[A-Z]+\s*-\s*[A-Z]{2}\)\s*$", ""))
-    x = F.trim(F.regexp_replace(x, rf"(?iuU)^(?:{'|'.join(TITLES)})\.?\s+", ""))
+    state after a plain space go too, and a bloc of several words in the bracket; ``faithful`` keeps them, as only dash and slash, and a bloc of one word, count there."""
+    dash, bloc = (" ?[-/] ?", "[\\p{L}\\p{N}_]+") if faithful else ("(?: ?[-/] ?| )", "[^()/]*")
+    tail, bracket = f"{dash}{_PARTY_OF_STATE} ?[)]? ?$", rf"(?i) ?[(](?:{bloc}/)?[A-Z]+ ?- ?[A-Z][A-Z][)] ?$"
+    x = squeeze(c)
+    for part in (tail, bracket) if faithful else (bracket, tail):  # a bracket whose end went first no longer is one
+        x = F.trim(F.regexp_replace(x, part, ""))
+    x = F.trim(F.regexp_replace(x, rf"(?iu)^(?:{'|'.join(TITLES)})[.]? +", ""))
     x = squeeze(F.regexp_replace(F.lower(ascii_fold(x)), r'[.,;:!?()"\\]', ""))
     return F.when(F.length(x) >= 2, x)
 
@@ -72,8 +81,10 @@ def phrase_date(c: Column) -> Column:
 
 
 def type_of_title(c: Column) -> Column:
-    """First word after ``- <n>ª -``; null if there is none."""
-    return F.nullif(F.regexp_extract(c, r"- \d+[ªº]\s+-\s+([\p{L}\p{N}_]+)", 1), F.lit(""))
+    """First word of the part behind the one that is an ordinal alone, the parts being set off by dashes; null if there is none."""
+    parts = F.split(squeeze(c), " ?- ")
+    at = F.array_position(F.transform(parts, lambda x: x.rlike("^[0-9]+[ªº]$")), True)
+    return F.when(at > 1, F.nullif(F.regexp_extract(F.get(parts, at.cast("int")), r"^[\p{L}\p{N}_]+", 0), F.lit("")))
 
 
 def ordinal_type(c: Column) -> Column:
@@ -88,3 +99,53 @@ def is_upper(c: Column) -> Column:
 def span(text: Column, start: Column, end: Column) -> Column:
     """Code points [start, end)."""
     return F.substring(text, start + 1, end - start)
+
+
+def nfc(c: Column) -> Column:
+    """Canonical composition, in Arrow batches: there is no built-in function for it."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield x.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+
+    return run(c)
+
+
+def cleaned(c: Column) -> Column:
+    """Composed text without tags of capitals."""
+    return without_tags(nfc(c))
+
+
+def mend_tags(c: Column, tag: str = "PESSOA") -> Column:
+    """Square-bracket annotations that were put around twice, or that stand empty on both sides of a text, as one annotation of it."""
+    opening = rf"\[{tag}:"
+    once = F.regexp_replace(c, rf"(?s){opening}{opening}(.*?)\]\]", f"[{tag}:$1]")
+    return F.regexp_replace(once, rf"(?s){opening}\](.*?){opening}\]", f"[{tag}:$1]")
+
+
+def first_line(c: Column) -> Column:
+    return F.regexp_replace(F.substring_index(c, "\n", 1), r"\r$", "")
+
+
+def second_line_type(c: Column) -> Column:
+    """The second line without white space around it and without its last character (a colon); null if there is no second line."""
+    line = F.regexp_replace(F.get(F.split(c, "\n"), F.lit(1)), r"(?U)^\s+|\s+$", "")
+    return F.when(F.length(line) > 0, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+
+
+def base_name(path: Column) -> Column:
+    """The last part of a path without its last extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def label_or(label: Column, ident: Column, index: Column) -> Column:
+    """The label of a vertex, or its id, or its number."""
+    return F.coalesce(F.nullif(label.cast("string"), F.lit("")), F.nullif(ident.cast("string"), F.lit("")), index.cast("string"))
+
+
+def palette(n: int) -> list[str]:
+    """``n`` colours as hex: hues a golden section apart, two saturations by threes, two brightnesses in turn."""
+    section = 0.618033988749895
+    shades = [colorsys.hsv_to_rgb(k * section % 1, (0.7, 0.9)[k // 3 % 2], (0.8, 0.7)[k % 2]) for k in range(n)]
+    return ["#" + "".join(f"{round(255 * x):02x}" for x in shade) for shade in shades]

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..session import parallelism
 
-#: Edges of one graph that a task may hold (paths and communities); larger graphs are refused.
-TASK_EDGES = 5_000_000
+#: Edges of one graph that a task may hold (paths and communities), vertices of one that a layout may; larger graphs are refused.
+TASK_EDGES, LAYOUT_VERTICES = 5_000_000, 5_000
+#: Sources of paths that one task walks from, at least.
+TASK_SOURCES = 64
 
 
 def mention_rows(speeches: DataFrame, order: list[str]) -> DataFrame:
@@ -58,6 +60,12 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
+def to_directed(edges: DataFrame) -> DataFrame:
+    """Undirected edges in both directions, each with the weight; loops stay one."""
+    back = edges.where("src <> dst").select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), *[F.col(f"`{c}`") for c in edges.columns if c not in ("graph_id", "src", "dst")])
+    return edges.unionByName(back)
+
+
 def undirected_degree(edges: DataFrame) -> DataFrame:
     return undirected(edges).select("graph_id", F.explode(F.array("src", "dst")).alias("vertex")).groupBy("graph_id", "vertex").agg(F.count(F.lit(1)).alias("degree"))
 
@@ -97,21 +105,27 @@ def clustering(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
 def shortest_paths(edges: DataFrame, inverse: bool = False) -> DataFrame:
     """Least distances over reachable ordered pairs, summed a source: ``graph_id``, ``src``, ``n``, ``total``, ``longest``.
 
-    The weight is the distance, ``inverse`` takes one over it.  Sources are spread over tasks, each of which holds the edges of
-    one graph (``TASK_EDGES`` at most)."""
-    blocks = parallelism(edges.sparkSession)
+    The weight is the distance, ``inverse`` takes one over it.  A graph's sources are spread over as many tasks as they make blocks of
+    ``TASK_SOURCES`` (no more than there are cores), each of which gets the graph's edges as one row (``TASK_EDGES`` at most)."""
+    spark = edges.sparkSession
     kinds = dict(edges.dtypes)
     largest = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest > TASK_EDGES:
         raise ValueError(f"a graph has {largest} edges; paths are limited to {TASK_EDGES}")
     cost = 1 / F.col("weight") if inverse else F.col("weight").cast("double")
-    every = edges.where("src <> dst").select(F.col("graph_id").alias("g"), F.col("src").alias("a"), F.col("dst").alias("b"), cost.alias("cost"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    sources = edges.select("graph_id", "src").distinct().withColumn("block", F.pmod(F.xxhash64("src"), F.lit(blocks)).cast("int"))
+    tasks = parallelism(spark)
+    sources = edges.select("graph_id", "src").distinct()
+    blocks = sources.groupBy("graph_id").agg(F.least(F.lit(tasks), F.ceil(F.count(F.lit(1)) / TASK_SOURCES).cast("int")).alias("blocks"))
+    packed = edges.where("src <> dst").groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", cost.alias("cost"))).alias("edges"))
+    every = blocks.join(packed, "graph_id").select(F.col("graph_id").alias("g"), "edges", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    mine = sources.join(blocks, "graph_id").select("graph_id", "src", F.expr("cast(pmod(xxhash64(src), blocks) as int)").alias("block"))
+    # few rows but much work: a given number of tasks, which must not be coalesced
+    mine, every = mine.repartition(4 * tasks, "graph_id", "block"), every.repartition(4 * tasks, "g", "part")
 
     def run(key: tuple, mine: pd.DataFrame, all_edges: pd.DataFrame) -> pd.DataFrame:
         near = defaultdict(list)
-        for a, b, w in zip(all_edges["a"], all_edges["b"], all_edges["cost"]):
-            near[a].append((b, w))
+        for e in all_edges["edges"].iloc[0] if len(all_edges) else ():
+            near[e["src"]].append((e["dst"], e["cost"]))
         rows = []
         for s in mine["src"]:
             best, heap, tick = {}, [(0.0, 0, s)], 1
@@ -129,7 +143,7 @@ def shortest_paths(edges: DataFrame, inverse: bool = False) -> DataFrame:
                 rows.append((key[0], s, len(best), sum(best.values()), max(best.values())))
         return pd.DataFrame(rows, columns=["graph_id", "src", "n", "total", "longest"])
 
-    return sources.groupBy("graph_id", "block").cogroup(every.groupBy("g", "part")).applyInPandas(run, f"graph_id {kinds['graph_id']}, src {kinds['src']}, n bigint, total double, longest double")
+    return mine.groupBy("graph_id", "block").cogroup(every.groupBy("g", "part")).applyInPandas(run, f"graph_id {kinds['graph_id']}, src {kinds['src']}, n bigint, total double, longest double")
 
 
 def path_summary(edges: DataFrame, inverse: bool = False) -> DataFrame:
@@ -248,8 +262,11 @@ def louvain(edges: DataFrame) -> DataFrame:
 
 
 def layout(edges: DataFrame, iterations: int = 2000, start_temp: float = 0.1, seed: int = 1) -> DataFrame:
-    """Fruchterman-Reingold coordinates ``x``, ``y`` of each graph's vertices; ``edges`` may bring ``layout_weight``.  One task holds a graph; meant for a few thousand vertices."""
+    """Fruchterman-Reingold coordinates ``x``, ``y`` of each graph's vertices; ``edges`` may bring ``layout_weight``.  One task holds a graph; a task's arrays grow with the square of the vertices, so at most ``LAYOUT_VERTICES`` are laid out."""
     kinds = dict(edges.dtypes)
+    largest = vertices_of(edges).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > LAYOUT_VERTICES:
+        raise ValueError(f"a graph has {largest} vertices; a layout is limited to {LAYOUT_VERTICES}")
     weighted = edges if "layout_weight" in edges.columns else edges.withColumn("layout_weight", F.lit(1.0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,18 @@ def recode_rest(counts: DataFrame, top: int = 6, rest: str = "OUTROS") -> DataFr
 
 def sum_by(counts: DataFrame, *keys: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum("contador").alias("total"))
+
+
+def preview(docs: DataFrame, key: str, text: str, top: int = 20, chars: int = 500) -> DataFrame:
+    """The beginning of the first ``top`` documents by key."""
+    return docs.orderBy(key).limit(top).select(key, F.substring(text, 1, chars).alias("preview"))
+
+
+def timed_write(df: DataFrame, path: str) -> dict[str, float]:
+    """Writes a table and tells its ``rows``, the ``seconds`` it took and the ``seconds_per_row``, counted on the way."""
+    import time
+
+    seen, began = Observation(), time.monotonic()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    seconds, rows = time.monotonic() - began, seen.get["rows"]
+    return {"rows": rows, "seconds": seconds, "seconds_per_row": seconds / rows if rows else 0.0}

@@ -16,6 +16,8 @@ from ..session import checkpoint, parallelism
 
 #: Distinct keys of one graph that a task compares with as many others.
 BLOCK_KEYS = 1_000
+#: Distinct names of one graph that the ordered resolver folds in one task.
+ORDERED_NAMES = 100_000
 
 
 def resolve_in_order(names: DataFrame, faithful: bool = True, threshold: int = 85, margin: int = 10) -> DataFrame:
@@ -23,7 +25,7 @@ def resolve_in_order(names: DataFrame, faithful: bool = True, threshold: int = 8
 
     ``names`` has ``graph_id``, ``seq`` (a total order) and ``name``.  A known key takes its entry's canonical name, which the longest spelling becomes; an unknown key joins
     the one entry it resembles, or the best if it leads by ``margin``, and is a conflict otherwise.  The default is the state of each moment, so a name may change
-    over time; with ``faithful=False`` entries (not keys) are candidates and every name gets the final canonical one.  The order matters, so one task folds a graph's names."""
+    over time; with ``faithful=False`` entries (not keys) are candidates and every name gets the final canonical one.  The order matters, so one task folds a graph's names, at most ``ORDERED_NAMES`` different ones."""
     kinds = dict(names.dtypes)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -60,6 +62,9 @@ def resolve_in_order(names: DataFrame, faithful: bool = True, threshold: int = 8
         return pd.DataFrame({"graph_id": pdf["graph_id"], "seq": pdf["seq"], "name": pdf["name"], "canonical": [o if isinstance(o, str) else o[0] for o in out]})
 
     keyed = names.where("name <> ''").select("graph_id", "seq", "name", name_key(F.col("name"), faithful).alias("key"))
+    largest = keyed.groupBy("graph_id").agg(F.countDistinct("name").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > ORDERED_NAMES:
+        raise ValueError(f"a graph has {largest} names; the ordered resolver is limited to {ORDERED_NAMES}")
     tasks = max(parallelism(names.sparkSession), int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return keyed.repartition(tasks, "graph_id").groupBy("graph_id").applyInPandas(fold, f"graph_id {kinds['graph_id']}, seq {kinds['seq']}, name string, canonical string")
 
@@ -134,6 +139,29 @@ def similar_pairs(keys: DataFrame, threshold: int = 85, block: int = BLOCK_KEYS)
     return by_words.unionByName(by_edits).distinct()
 
 
+def resolve_by_key(names: DataFrame) -> DataFrame:
+    """The exact part of a resolver: ``graph_id``, ``name``, ``canonical``.  Names of one key take the longest spelling (ties: the least); a name without a key stays."""
+    keyed = names.where("name <> ''").select("graph_id", "name", F.coalesce(name_key(F.col("name")), F.col("name")).alias("key")).distinct()
+    longest = keyed.groupBy("graph_id", "key").agg(F.min(F.struct((-F.length("name")).alias("l"), "name")).alias("best"))
+    return keyed.join(longest, ["graph_id", "key"]).select("graph_id", "name", F.col("best.name").alias("canonical"))
+
+
+def resolved_mentions(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Mention rows with speaker and mention under their canonical names; names the resolver doesn't know stay.
+
+    All is resolved before anything is counted, so one person is one vertex whatever spelling came first."""
+    known = resolved.select(F.col("graph_id").alias("_g"), F.col("name").alias("_n"), F.col("canonical").alias("_c")).distinct()
+    out = rows
+    for c in ("speaker", "mention"):
+        out = out.join(known, (F.col("graph_id") == F.col("_g")) & (F.col(c) == F.col("_n")), "left").withColumn(c, F.coalesce("_c", c)).drop("_g", "_n", "_c")
+    return out
+
+
+def names_of(rows: DataFrame) -> DataFrame:
+    """Distinct ``graph_id``, ``name`` of mention rows."""
+    return rows.select("graph_id", F.explode(F.array("speaker", "mention")).alias("name")).where("name is not null").distinct()
+
+
 def resolve_at_scale(names: DataFrame, threshold: int = 85) -> DataFrame:
     """Order-independent resolver: ``graph_id``, ``name``, ``canonical``.
 

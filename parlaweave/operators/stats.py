@@ -32,7 +32,7 @@ def loglog_fit(dist: DataFrame, head: float = 0.1, keep_head: bool = True) -> Da
 def power_law_fit(dist: DataFrame) -> DataFrame:
     """Unweighted least squares of p = a * x^b: ``a``, ``b``, ``r2`` in linear space; null where there are fewer than two points.
 
-    Given b the best a is closed form, so b is searched in one dimension; a task holds the distinct values of one series."""
+    Given b the best a is closed form, so b is searched in one dimension, on a grid that is widened until the best is inside (up to some ten thousand); a task holds the distinct values of one series."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -49,6 +49,9 @@ def power_law_fit(dist: DataFrame) -> DataFrame:
 
             grid = np.linspace(-12, 4, 321)
             at = int(np.argmin([fit(b)[0] for b in grid]))
+            while at in (0, len(grid) - 1) and abs(grid[at]) < 1e4:  # further out as long as the best is at an end
+                grid = np.linspace(grid[at] * 4, grid[at] / 2, 321) if at == 0 else np.linspace(grid[at] / 2, grid[at] * 4, 321)
+                at = int(np.argmin([fit(b)[0] for b in grid]))
             low, high = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
             for _ in range(80):  # golden section
                 p, q = high - (high - low) * 0.6180339887, low + (high - low) * 0.6180339887
@@ -77,3 +80,16 @@ def fitted_curve(fits: DataFrame, low: float, high: float, points: int = 100) ->
 def summary(values: DataFrame) -> DataFrame:
     """Mean, least, most and population deviation of each series."""
     return values.groupBy("graph_id", "kind").agg(F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"), F.stddev_pop("x").alias("deviation"))
+
+
+def community_sizes(members: DataFrame) -> DataFrame:
+    """Communities of each graph, the largest, the smallest, the mean size and its population deviation."""
+    size = members.groupBy("graph_id", "community").agg(F.count(F.lit(1)).alias("size"))
+    return size.groupBy("graph_id").agg(F.count(F.lit(1)).alias("communities"), F.max("size").alias("most"), F.min("size").alias("least"), F.avg("size").alias("mean"), F.stddev_pop("size").alias("deviation"))
+
+
+def largest_sizes(members: DataFrame, top: int = 15) -> DataFrame:
+    """The ``top`` largest communities of each graph: ``rank``, ``community``, ``size``; ties by community."""
+    size = members.groupBy("graph_id", "community").agg(F.count(F.lit(1)).alias("size"))
+    by = Window.partitionBy("graph_id").orderBy(F.col("size").desc(), "community")
+    return size.withColumn("rank", F.row_number().over(by).cast("bigint")).where(F.col("rank") <= top)

@@ -44,8 +44,9 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 # ---- SQL of the relations -------------------------------------------------------------------------------
-TR = "tr as (select doc_id, min(fonte) as fonte, min(ano) as ano, min(titulo) as titulo, min(data_str) as data_str, min(tipo) as tipo, min(text) as text from transcript where text is not null group by doc_id)"
-SE = "se as (select doc_id, min(fonte) as fonte, min(ano) as ano, min(titulo) as titulo, min(tipo) as tipo from transcript group by doc_id)"
+_FIELD_ORDER = "fonte nulls first, ano nulls first, titulo nulls first, data_str nulls first, tipo nulls first"
+TR = f"tr as (select doc_id, fonte, ano, titulo, data_str, tipo, text from (select *, row_number() over (partition by doc_id order by captured_at nulls first, {_FIELD_ORDER}, text) as r from transcript where text is not null) where r = 1)"
+SE = f"se as (select doc_id, fonte, ano, titulo, tipo from (select *, row_number() over (partition by doc_id order by captured_at nulls first, {_FIELD_ORDER}) as r from transcript) where r = 1)"
 CO = f"{SE}, co as (select fonte, tipo, ano, count(*) as contador from se group by 1, 2, 3)"
 TIDY = f"{CO}, ti as (select fonte, upper(trim(coalesce(tipo, 'Unknown'))) as tipo, ano, contador from co)"
 PE = """pe as (select doc_id, start, "end", word, score, mention_id from (select *, row_number() over (partition by doc_id, start, "end" order by score desc nulls last, mention_id) as r from entity_mention where entity_group = 'PESSOA' and word is not null and start < "end") where r = 1)"""
@@ -72,16 +73,21 @@ ED = """m1 as (select graph_id, speech_id, word, coalesce(max(weight), 0) as w f
 m2 as (select graph_id, speech_id, first_value(word) over (partition by graph_id, speech_id order by w desc, word) as src, word as dst from m1),
 ed as (select graph_id, src, dst, count(*) as weight from m2 where src <> dst group by 1, 2, 3),
 ve as (select graph_id, src as vertex from ed union select graph_id, dst from ed)"""
-NA = """ed as (select 'n' as graph_id, c_nationkey as src, s_nationkey as dst, count(*) as weight from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_quantity >= 48 and c_nationkey <> s_nationkey group by 2, 3),
+NA = """ed as (select 'n' as graph_id, c_nationkey as src, s_nationkey as dst, count(*) as weight from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 2, 3),
 ve as (select graph_id, src as vertex from ed union select graph_id, dst from ed),
 me as (select 'n' as graph_id, n_nationkey as vertex, n_regionkey as community from nation)"""
 DE = """de as (select ve.graph_id, ve.vertex, cast(coalesce(i.n, 0) as bigint) as in_degree, cast(coalesce(o.n, 0) as bigint) as out_degree, cast(coalesce(i.s, 0) as bigint) as in_strength, cast(coalesce(o.s, 0) as bigint) as out_strength from ve
 left join (select graph_id, dst, count(*) as n, sum(weight) as s from ed group by 1, 2) i on i.graph_id = ve.graph_id and i.dst = ve.vertex
 left join (select graph_id, src, count(*) as n, sum(weight) as s from ed group by 1, 2) o on o.graph_id = ve.graph_id and o.src = ve.vertex)"""
 UN = "un as (select distinct graph_id, least(src, dst) as src, greatest(src, dst) as dst from ed where src <> dst)"
-GO = """go as (select doc_id, manual_start as start, manual_end as "end", min(cmp_id) as gold_id, min(manual_canon) as canon, min(manual_raw) as raw from compare_outputs where manual_start is not null group by 1, 2, 3),
-pr as (select doc_id, algo_start as start, algo_end as "end", min(cmp_id) as pred_id, min(algo_canon) as p_canon, min(raw_text) as p_raw from compare_outputs where algo_start is not null group by 1, 2, 3),
-ma as (select * from (select go.doc_id, gold_id, canon, raw, pred_id, p_canon, p_raw, row_number() over (partition by go.doc_id, gold_id order by pred_id) as r from go join pr on pr.doc_id = go.doc_id and greatest(go.start, pr.start) < least(go."end", pr."end")) where r = 1)"""
+GO = """go as (select doc_id, manual_start as start, manual_end as "end", min(cmp_id) as gold_id, first(manual_canon order by cmp_id) as canon, first(manual_raw order by cmp_id) as raw from compare_outputs where manual_start is not null group by 1, 2, 3),
+pr as (select doc_id, algo_start as start, algo_end as "end", min(cmp_id) as pred_id, first(algo_canon order by cmp_id) as p_canon, first(raw_text order by cmp_id) as p_raw from compare_outputs where algo_start is not null group by 1, 2, 3),
+ma as (select * from (select go.doc_id, gold_id, canon, raw, go.start, go."end", pred_id, p_canon, p_raw, pr.start as p_start, pr."end" as p_end, row_number() over (partition by go.doc_id, gold_id order by pred_id) as r from go join pr on pr.doc_id = go.doc_id and greatest(go.start, pr.start) < least(go."end", pr."end")) where r = 1)"""
+OU = f"""{GO}, gs as (select doc_id, canon, list(distinct raw) as raws from go group by 1, 2), ps as (select doc_id, p_canon, list(distinct p_raw) as raws from pr group by 1, 2),
+x as (select ma.*, coalesce(lower(canon) = lower(p_canon), false) or coalesce(lower(canon) = lower(p_raw), false) or coalesce(lower(raw) = lower(p_canon), false) or coalesce(lower(raw) = lower(p_raw), false) as nm, coalesce(list_has_any(gs.raws, ps.raws), false) as cm from ma left join gs using (doc_id, canon) left join ps using (doc_id, p_canon)),
+ou as (select doc_id, case when nm and cm then 'TP' else 'DM' end as outcome, case when not nm then 'name_mismatch' when not cm then 'concept_mismatch' end as reason, canon, raw, start, "end", p_canon, p_raw, p_start, p_end from x
+union all select doc_id, 'FN', null, canon, raw, start, "end", null, null, null, null from go where not exists (select 1 from ma where ma.doc_id = go.doc_id and ma.gold_id = go.gold_id)
+union all select doc_id, 'FP', null, null, null, null, null, p_canon, p_raw, start, "end" from pr where not exists (select 1 from ma where ma.doc_id = pr.doc_id and ma.pred_id = pr.pred_id))"""
 
 
 # ---- reports --------------------------------------------------------------------------------------------
@@ -143,28 +149,71 @@ def html_href_code(spark: SparkSession, d: str) -> DataFrame:
     return f.select("doc_id", F.get("codes", F.lit(0)).alias("code"), F.size("bold").cast("bigint").alias("n_bold"))
 
 
-@query(f"with {TR} select doc_id, chr(10) || regexp_replace(substr(text, 1, 400), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') as text from tr")
-def html_bold_speakers(spark: SparkSession, d: str) -> DataFrame:
-    """The beginning of the transcript text, as far as the SQL of this query goes; ``html_bold_speakers_whole`` has all of it."""
-    return html.assemble(html.page_fields(R.pages(spark, d, 400), "doc_id", "html"), "doc_id")
+@query(f"with {TR}, a as (select doc_id, regexp_extract(trim(coalesce(tipo, 'x')) || ' geral', '[^ ]+') as tipo, split_part(doc_id, '/', 3) as codigo from tr) select * from a where tipo not in ('Outros', 'SECRETARIA')")
+def html_agenda_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Agenda of pages that also hold cells of kinds left out and without a category, stray end tags and a link outside."""
+    return html.agenda(html.page_fields(R.pages(spark, d), "doc_id", "html"), "doc_id")
 
 
 @query(f"with {TR} select doc_id, chr(10) || regexp_replace(text, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') as text from tr")
-def html_bold_speakers_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Transcript text assembled from bold speakers and spans."""
-    return html.assemble(html.page_fields(R.pages(spark, d), "doc_id", "html"), "doc_id")
+def html_bold_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """Transcript text assembled from bold speakers and the spans of class ``fala``."""
+    return html.assemble(html.page_fields(R.pages(spark, d), "doc_id", "html", speech="fala"), "doc_id")
+
 
+@query(f"with {TR} select doc_id, 3::bigint as spans, 'Outros eventos' as first from tr")
+def html_elements_by_class(spark: SparkSession, d: str) -> DataFrame:
+    by_tag = html.select_texts(R.pages(spark, d), "doc_id", "html", "span").select("doc_id", F.size("texts").cast("bigint").alias("spans"))
+    by_class = html.select_texts(R.pages(spark, d), "doc_id", "html", css="g-agenda__categoria").select("doc_id", F.get("texts", F.lit(0)).alias("first"))
+    return by_tag.join(by_class, "doc_id")
 
-@query(f"with {TR} select doc_id from tr where length(text) > 300")
+
+@query(f"with {TR} select doc_id from tr where length(rtrim(concat(coalesce(titulo, 'sem título'), 'xsem categoria Outros eventos ver ', coalesce(tipo, 'x'), ' geral verO SR. PRESIDENTENota', text), chr(32) || chr(9) || chr(10) || chr(13))) > 300")
 def page_has_notes_filter(spark: SparkSession, d: str) -> DataFrame:
-    return html.has_notes(R.transcripts(spark, d).withColumn("body", F.col("text"))).select("doc_id")
+    """Pages whose body holds notes."""
+    return html.has_notes(html.page_fields(R.pages(spark, d), "doc_id", "html")).select("doc_id")
 
 
-@query("select vec_id, label from embeddings where label = 5")
+@query("select doc_id, coalesce(tipo, '') || codigo as value from transcript where text is null or trim(text) = ''")
 def error_status_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of exactly one status, as the error list of the capture keeps them."""
-    e = table(spark, d, "embeddings").withColumn("status", F.when(F.col("label") == 5, 500).otherwise(200))
-    return html.failed(e.select(F.col("vec_id").alias("fonte"), F.col("label").alias("tipo"), F.lit(0).alias("codigo"), "status")).select(F.col("fonte").alias("vec_id"), F.col("tipo").alias("label"))
+    """The error list of the captures: type and code where the status is exactly 500."""
+    return files.failed_lines(html.failed(R.captures(spark, d), "doc_id"), "doc_id")
+
+
+@query("select ano, concat_ws(chr(10), tipo || ':', codigo::varchar) as value from (select distinct ano, tipo, codigo from transcript) where codigo is not null")
+def code_list_lines(spark: SparkSession, d: str) -> DataFrame:
+    return files.code_lines(table(spark, d, "transcript").select("ano", "tipo", "codigo").distinct())
+
+
+@query(f"with {TR} select doc_id, regexp_replace(split_part(text, chr(10), 1), '\\r$', '') as first_line, case when len(string_split(text, chr(10))) > 1 then (with z as (select regexp_replace(string_split(text, chr(10))[2], '^\\s+|\\s+$', '', 'g') as l) select substr(l, 1, greatest(length(l) - 1, 0)) from z) end as second_line from tr")
+def heading_lines(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return R.transcripts(spark, d).select("doc_id", X.first_line(t).alias("first_line"), X.second_line_type(t).alias("second_line"))
+
+
+@query(f"with {TR} select doc_id, nullif(regexp_extract(regexp_replace(titulo, '\\s+', ' ', 'g'), '- [0-9]+[ªº] - ([\\pL\\pN_]+)', 1), '') as kind from tr")
+def type_of_title(spark: SparkSession, d: str) -> DataFrame:
+    return R.transcripts(spark, d).select("doc_id", X.type_of_title(F.col("titulo")).alias("kind"))
+
+
+@query("""with p as (select distinct replace(doc_id, '/', '_') as base from entity_mention), t as (select distinct replace(doc_id, '/', '_') as base, fonte from transcript where text is not null)
+select p.base || '.grouped_entities.json' as path, p.base, case when t.base is null then 'skipped' else 'processed' end as status from p left join t on t.base = p.base""")
+def entity_file_text(spark: SparkSession, d: str) -> DataFrame:
+    """Entity files joined with the text of their document, named with or without an extension."""
+    flat = F.replace("doc_id", F.lit("/"), F.lit("_"))
+    entity_files = table(spark, d, "entity_mention").select(F.concat(flat, F.lit(".grouped_entities.json")).alias("path")).distinct()
+    texts_ = R.transcripts(spark, d).select(F.concat(flat, F.when(F.col("fonte") == "camara", ".txt").otherwise("")).alias("file"), "text")
+    return files.text_of_entities(entity_files, texts_).select("path", "base", "status")
+
+
+@query("""with p as (select distinct doc_id from entity_mention), t as (select distinct doc_id from transcript where text is not null) select case when t.doc_id is null then 'skipped' else 'processed' end as status, count(*) as files from p left join t on t.doc_id = p.doc_id group by 1""")
+def entity_file_counts(spark: SparkSession, d: str) -> DataFrame:
+    return files.status_counts(entity_file_text(spark, d))
+
+
+@query(f"with {TR} select doc_id, substr(text, 1, 500) as preview from tr order by doc_id limit 20")
+def preview_documents(spark: SparkSession, d: str) -> DataFrame:
+    return reports.preview(R.transcripts(spark, d), "doc_id", "text")
 
 
 @query(f"""with {TR} select doc_id, nullif(regexp_extract(substr(titulo, 21, 180), '(?:^|[^0-9A-Za-z_])(201[0-9]|202[0-5])(?:[^0-9A-Za-z_]|$)', 1), '') as year,
@@ -218,16 +267,40 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return texts.chunk_windows(R.transcripts(spark, d), "doc_id", "text")
 
 
-@query("select cmp_id, regexp_replace('<B>' || raw_text || '</B> <b>', '</?[A-Z]+>', '', 'g') as cleaned from compare_outputs where raw_text is not null")
+@query("select cmp_id, regexp_replace(nfc_normalize('<B>' || raw_text || '</B> <b>'), '</?[A-Z]+>', '', 'g') as cleaned from compare_outputs where raw_text is not null")
 def clean_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Composed text without tags of capitals."""
+    c = table(spark, d, "compare_outputs").where("raw_text is not null")
+    return c.select("cmp_id", X.cleaned(F.concat(F.lit("<B>"), "raw_text", F.lit("</B> <b>"))).alias("cleaned"))
+
+
+@query("select cmp_id, '[PESSOA:' || raw_text || '] e [PESSOA:' || raw_text || ']' as mended from compare_outputs where raw_text is not null")
+def residual_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations put around twice, and empty ones on both sides of a name, are mended."""
+    tag = lambda *p: F.concat(*[F.lit(x) if x != "raw_text" else F.col(x) for x in p])
     c = table(spark, d, "compare_outputs").where("raw_text is not null")
-    return c.select("cmp_id", X.without_tags(F.concat(F.lit("<B>"), "raw_text", F.lit("</B> <b>"))).alias("cleaned"))
+    return c.select("cmp_id", X.mend_tags(tag("[PESSOA:[PESSOA:", "raw_text", "]] e [PESSOA:]", "raw_text", "[PESSOA:]")).alias("mended"))
 
 
-_KEY = "trim(regexp_replace(word, '(?:\\s*[-/]\\s*|\\s+)[A-Z]{2,}\\s*-\\s*[A-Z]{2}\\s*\\)?\\s*$', ''))"
-_KEY = f"trim(regexp_replace({_KEY}, '(?i)\\s*\\((?:[^()/]*/)?[A-Z]+\\s*-\\s*[A-Z]{{2}}\\)\\s*$', ''))"
-_KEY = f"trim(regexp_replace({_KEY}, '(?i)^(?:{'|'.join(X.TITLES)})\\.?\\s+', ''))"
-_KEY = f"trim(regexp_replace(regexp_replace(lower(strip_accents({_KEY})), '[.,;:!?()\"\\\\]', '', 'g'), '\\s+', ' ', 'g'))"
+@query("select name_id, coalesce(nullif(word, ''), name_id::varchar) as label from name_record")
+def label_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "name_record").select("name_id", X.label_or(F.col("word"), F.col("name_id"), F.lit(0)).alias("label"))
+
+
+@query("select distinct doc_id, regexp_replace(split_part(doc_id, '/', 3) || '.annotated.txt', '[.][^.]*$', '') as base from transcript")
+def path_base_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "transcript").select("doc_id", X.base_name(F.concat("doc_id", F.lit(".annotated.txt"))).alias("base")).distinct()
+
+
+def _key_sql(word: str) -> str:
+    space = "[\\s\\x{0B}\\x{85}\\pZ]+"
+    x = f"regexp_replace(trim(regexp_replace({word}, '{space}', ' ', 'g')), '(?i) ?[(](?:[^()/]*/)?[A-Z]+ ?- ?[A-Z][A-Z][)] ?$', '')"
+    x = f"regexp_replace(trim({x}), '(?: ?[-/] ?| )[A-Z][A-Z]+ ?- ?[A-Z][A-Z] ?[)]? ?$', '')"
+    x = f"regexp_replace(trim({x}), '(?i)^(?:{'|'.join(X.TITLES)})[.]? +', '')"
+    return f"trim(regexp_replace(regexp_replace(lower(strip_accents(trim({x}))), '[.,;:!?()\"\\\\]', '', 'g'), '{space}', ' ', 'g'))"
+
+
+_KEY = _key_sql("word")
 
 
 @query(f"select speech_id, word, case when length({_KEY}) >= 2 then {_KEY} end as name_key from (select distinct min(speech_id) as speech_id, word from speech_mention where word is not null group by word)")
@@ -298,6 +371,12 @@ def group_similar_persons(spark: SparkSession, d: str) -> DataFrame:
     return entities.group_similar(R.persons(spark, d), "doc_id")
 
 
+@query()
+def group_similar_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Where the words of each canonical name stand."""
+    return entities.group_similar_positions(R.persons(spark, d), "doc_id")
+
+
 # ---- evaluation -----------------------------------------------------------------------------------------
 def _matched(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.first_overlap(R.gold(spark, d), R.predicted(spark, d), "doc_id")
@@ -318,23 +397,66 @@ def false_positives_anti(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.spurious(R.predicted(spark, d), _matched(spark, d), "doc_id").select("doc_id", "pred_id")
 
 
-@query(f"""with {GO}, gs as (select doc_id, canon, list(distinct raw) as raws from go group by 1, 2), ps as (select doc_id, p_canon, list(distinct p_raw) as raws from pr group by 1, 2),
-x as (select ma.*, lower(canon) = lower(p_canon) or coalesce(lower(canon) = lower(p_raw), false) or coalesce(lower(raw) = lower(p_canon), false) or coalesce(lower(raw) = lower(p_raw), false) as nm, coalesce(list_has_any(gs.raws, ps.raws), false) as cm from ma left join gs using (doc_id, canon) left join ps using (doc_id, p_canon))
-select doc_id, gold_id, pred_id, case when nm and cm then 'TP' else 'DM' end as outcome, case when not nm then 'name_mismatch' when not cm then 'concept_mismatch' end as reason from x""")
+@query(f"with {OU} select doc_id, canon, start, \"end\", p_start, p_end, outcome, reason from ou where outcome in ('TP', 'DM')")
 def match_outcomes(spark: SparkSession, d: str) -> DataFrame:
     out = evaluate.outcomes(_matched(spark, d), R.gold(spark, d), R.predicted(spark, d), "doc_id")
-    return out.select("doc_id", "gold_id", "pred_id", "outcome", "reason")
+    return out.select("doc_id", "canon", "start", "end", "p_start", "p_end", "outcome", "reason")
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.all_outcomes(R.gold(spark, d), R.predicted(spark, d), "doc_id")
+
+
+@query(f"with {OU} select * from ou")
+def evaluation_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of the whole evaluation, computed from the spans of both sides."""
+    return _outcomes(spark, d)
+
+
+@query(f"with {GO} select doc_id, coalesce(g.n, 0) as gold_total, coalesce(p.n, 0) as pred_total from (select doc_id, count(*) as n from go group by 1) g full join (select doc_id, count(*) as n from pr group by 1) p using (doc_id)")
+def evaluation_totals(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.totals(R.gold(spark, d), R.predicted(spark, d), "doc_id")
+
+
+def _report_sql() -> str:
+    shown = lambda name, c, r, a, b: f"case when {a} is not null then '{name}: ' || coalesce({c}, 'null') || ' | ' || coalesce({r}, 'null') || ' @ (' || {a} || ', ' || {b} || ')' end"
+    kinds = {"TP": 1, "DM": 2, "FN": 3, "FP": 4}
+    part = "case outcome " + " ".join(f"when '{k}' then {n}" for k, n in kinds.items()) + " end"
+    return f"""with {OU}, c as (select count(*) filter (where outcome = 'TP') as tp, count(*) filter (where outcome = 'DM') as dm, count(*) filter (where outcome = 'FN') as fn, count(*) filter (where outcome = 'FP') as fp from ou),
+q as (select *, coalesce(tp / nullif(tp + fp + dm, 0)::double, 0) as ps, coalesce(tp / nullif(tp + fn + dm, 0)::double, 0) as rs, coalesce((tp + dm) / nullif(tp + dm + fp, 0)::double, 0) as pl, coalesce((tp + dm) / nullif(tp + dm + fn, 0)::double, 0) as rl from c),
+f as (select *, coalesce(2 * ps * rs / nullif(ps + rs, 0), 0) as fs, coalesce(2 * pl * rl / nullif(pl + rl, 0), 0) as fl from q),
+h as (select unnest(['## NER comparison', '- gold occurrences: ' || (tp + dm + fn), '- TP: ' || tp, '- DM: ' || dm, '- FN: ' || fn, '- FP: ' || fp{"".join(f", '- {k} ({how}): ' || printf('%.4f', {k[0]}{how[0]})" for how in ("strict", "lenient") for k in ("precision", "recall", "f1"))}]) as line, unnest(range(0, 12)) as "at" from f)
+select 0 as part, '' as name, "at", line from h
+{"".join(f"union all select {n}, '', -1, '### {k}' || case when {k.lower()} = 0 then chr(10) || '- none' else '' end from c " for k, n in kinds.items())}
+union all select {part}, coalesce(canon, p_canon), coalesce(start, p_start), '- ' || concat_ws(' | ', {shown('gold', 'canon', 'raw', 'start', '"end"')}, {shown('found', 'p_canon', 'p_raw', 'p_start', 'p_end')}, reason) from ou"""
+
+
+@query(_report_sql())
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.report_lines(checkpoint(_outcomes(spark, d)))
+
+
+@query("""with al as (select unnest(original_names) as alias, min(canonical_name) as canonical from name_entry group by 1),
+g as (select distinct doc_id, coalesce(canonical, manual_raw) as name, manual_start as s, manual_end as e from compare_outputs left join al on alias = manual_raw where manual_raw is not null and manual_start is not null and manual_end is not null)
+select doc_id, name, string_agg(s || ':' || e, ',' order by s, e) as positions from g group by 1, 2""")
+def gold_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Manual entities grouped under the canonical names of the register."""
+    e = table(spark, d, "name_entry").select(F.explode("original_names").alias("alias"), "canonical_name").groupBy("alias").agg(F.min("canonical_name").alias("canonical"))
+    c = table(spark, d, "compare_outputs").select("doc_id", F.col("manual_raw").alias("text"), F.col("manual_start").alias("original_start"), F.col("manual_end").alias("original_end"))
+    spots = F.array_join(F.transform("positions", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"))), ",")
+    return files.gold_positions(c, "doc_id", e).select("doc_id", "name", spots.alias("positions"))
 
 
 def _prf_sql(kind: str) -> str:
     hit, p, r = ("tp", "tp + fp + dm", "tp + fn + dm") if kind == "strict" else ("tp + dm", "tp + dm + fp", "tp + dm + fn")
-    return f"""with c as (select split_part(doc_id, '/', 1) as fonte, count(*) filter (where outcome = 'TP') as tp, count(*) filter (where outcome = 'DM') as dm, count(*) filter (where outcome = 'FN') as fn, count(*) filter (where outcome = 'FP') as fp from compare_outputs group by 1),
+    return f"""with {OU}, c as (select split_part(doc_id, '/', 1) as fonte, count(*) filter (where outcome = 'TP') as tp, count(*) filter (where outcome = 'DM') as dm, count(*) filter (where outcome = 'FN') as fn, count(*) filter (where outcome = 'FP') as fp from ou group by 1),
 s as (select *, coalesce(({hit}) / nullif({p}, 0)::double, 0) as p, coalesce(({hit}) / nullif({r}, 0)::double, 0) as r from c)
 select fonte, tp, dm, fn, fp, round(p, 6) as precision_{kind}, round(r, 6) as recall_{kind}, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1_{kind} from s"""
 
 
 def _prf(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    rows = table(spark, d, "compare_outputs").withColumn("fonte", F.split_part("doc_id", F.lit("/"), F.lit(1)))
+    """Scores a house of the outcomes computed from the spans."""
+    rows = _outcomes(spark, d).withColumn("fonte", F.split_part("doc_id", F.lit("/"), F.lit(1)))
     cols = [f"{c}_{kind}" for c in ("precision", "recall", "f1")]
     return _rounded(evaluate.scores(rows, "outcome", ["fonte"]).select("fonte", "tp", "dm", "fn", "fp", *cols), *cols)
 
@@ -511,6 +633,73 @@ def vertex_plot_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(graph.vertex_sizes(R.nation_regions(spark, d), graph.degrees(R.nation_edges(spark, d))), "scaled", "composite")
 
 
+# The same operators on the mention graphs of speeches, all rows of them; the partition is the last word of a name, so that SQL can tell it.
+_MW = "me as (select graph_id, vertex, string_split(vertex, ' ')[-1] as community from ve)"
+_PLACED = "pl as (select un.graph_id, x.community as cs, y.community as cd from un join me x on x.graph_id = un.graph_id and x.vertex = un.src join me y on y.graph_id = un.graph_id and y.vertex = un.dst)"
+
+
+def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = checkpoint(R.speech_edges(spark, d))
+    return e, graph.vertices_of(e).withColumn("community", F.element_at(F.split("vertex", " "), -1))
+
+
+@query(f"with {ED}, {UN}, {_MW}, {_PLACED}, m as (select graph_id, count(*) as m from un group by 1), l as (select graph_id, cs as c, count(*) as l from pl where cs = cd group by 1, 2), dg as (select graph_id, c, count(*) as d from (select graph_id, cs as c from pl union all select graph_id, cd from pl) group by 1, 2) select graph_id, round(sum(coalesce(l, 0) / m::double - pow(d / (2.0 * m), 2)), 6) as modularity from dg left join l using (graph_id, c) join m using (graph_id) group by 1")
+def modularity_words(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(graph.modularity(*_words(spark, d)), "modularity")
+
+
+@query(f"with {ED}, {DE}, {_MW}, r as (select me.graph_id, me.vertex, community, in_degree + out_degree as degree, row_number() over (partition by me.graph_id, community order by in_degree + out_degree desc, me.vertex) as rank from me join de on de.graph_id = me.graph_id and de.vertex = me.vertex) select * from r where rank <= 3")
+def community_leaders_words(spark: SparkSession, d: str) -> DataFrame:
+    e, members = _words(spark, d)
+    return graph.leaders(members, graph.degrees(e))
+
+
+@query(f"with {ED}, {_MW} select ed.graph_id, src, dst, weight, x.community = y.community as intra, case when x.community = y.community then 15.0 else 0.05 end::double as layout_weight, case when x.community = y.community then 0.8 else 0.05 end::double as alpha from ed join me x on x.graph_id = ed.graph_id and x.vertex = src join me y on y.graph_id = ed.graph_id and y.vertex = dst")
+def edge_intra_inter_words(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edge_kinds(*_words(spark, d))
+
+
+@query(f"with {ED}, {DE}, {_MW}, j as (select me.graph_id, me.vertex, community, in_degree + out_degree as degree, count(*) over (partition by me.graph_id, community) as size from me join de on de.graph_id = me.graph_id and de.vertex = me.vertex) select *, round(case when min(degree) over g = max(degree) over g then 30.0 else 3 + 150 * (degree - min(degree) over g) / (max(degree) over g - min(degree) over g)::double end, 6) as scaled, round(10 * ln(degree + 1) * ln(size + 1) / ln(max(size) over g + 1), 6) as composite from j window g as (partition by graph_id)")
+def vertex_plot_sizes_words(spark: SparkSession, d: str) -> DataFrame:
+    e, members = _words(spark, d)
+    return _rounded(graph.vertex_sizes(members, graph.degrees(e)), "scaled", "composite")
+
+
+_SIZES = "si as (select graph_id, community, count(*) as size from me group by 1, 2)"
+
+
+@query(f"with {ED}, {_MW}, {_SIZES} select graph_id, count(*) as communities, max(size) as most, min(size) as least, round(avg(size), 6) as mean, round(stddev_pop(size), 6) as deviation from si group by 1")
+def community_size_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(stats.community_sizes(_words(spark, d)[1]), "mean", "deviation")
+
+
+@query(f"with {ED}, {_MW}, {_SIZES}, r as (select *, row_number() over (partition by graph_id order by size desc, community) as rank from si) select * from r where rank <= 15")
+def community_largest_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return stats.largest_sizes(_words(spark, d)[1])
+
+
+@query(f"with {ED}, {UN} select graph_id, src, dst, 1 as weight from un union all select graph_id, dst, src, 1 from un")
+def undirected_to_directed(spark: SparkSession, d: str) -> DataFrame:
+    return graph.to_directed(graph.undirected(R.speech_edges(spark, d)).withColumn("weight", F.lit(1)))
+
+
+@query(f"""with {SPEECH}, nm as (select distinct graph_id, name from (select graph_id, speaker as name from mr union all select graph_id, mention from mr) where name is not null and name <> ''),
+ky as (select graph_id, name, case when length({_key_sql('name')}) >= 2 then {_key_sql('name')} else name end as k from nm), ca as (select graph_id, name, first_value(name) over (partition by graph_id, k order by length(name) desc, name) as canonical from ky),
+rs as (select mr.graph_id, mr.doc_id, speech_no, coalesce(a.canonical, speaker) as src, coalesce(b.canonical, mention) as dst from mr left join ca a on a.graph_id = mr.graph_id and a.name = speaker left join ca b on b.graph_id = mr.graph_id and b.name = mention)
+select graph_id, src, dst, count(distinct (doc_id, speech_no)) as weight from rs where dst is not null and src <> dst group by 1, 2, 3""")
+def mention_edges_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of the annotated transcripts with names of one key brought together before anything is counted."""
+    rows = checkpoint(R.mention_rows(spark, d))
+    return graph.mention_edges(resolve.resolved_mentions(rows, resolve.resolve_by_key(resolve.names_of(rows))), ["doc_id", "speech_no"])
+
+
+@query()
+def mention_edges_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """The same with similar names brought together too."""
+    rows = checkpoint(R.mention_rows(spark, d))
+    return graph.mention_edges(resolve.resolved_mentions(rows, checkpoint(resolve.resolve_at_scale(resolve.names_of(rows)))), ["doc_id", "speech_no"])
+
+
 @query()
 def communities(spark: SparkSession, d: str) -> DataFrame:
     return graph.louvain(R.speech_edges(spark, d))
@@ -565,7 +754,19 @@ def layout_coordinates_speeches(spark: SparkSession, d: str) -> DataFrame:
     return graph.layout(graph.edge_kinds(*_mentions(spark, d)).select("graph_id", "src", "dst", "layout_weight"))
 
 
-@query()
+def _gexf_sql() -> str:
+    esc = "replace(replace(replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(10), '&#10;')"
+    frame = " ".join(f"union all select graph_id, {k}, 0, '{v}' from (select distinct graph_id from vx)" for k, v in files.GEXF_FRAME.items())
+    return f"""with {SPEECH}, se1 as (select graph_id, doc_id, speech_no, -1 as pos, speaker as label from mr union all select graph_id, doc_id, speech_no, coalesce(pos, 0), mention from mr),
+f1 as (select *, row_number() over (partition by graph_id, label order by doc_id, speech_no, pos) as r from se1 where label is not null),
+vx as (select graph_id, label, row_number() over (partition by graph_id order by doc_id, speech_no, pos, label) as id from f1 where r = 1),
+me as (select graph_id, speaker as src, mention as dst, count(distinct (doc_id, speech_no)) as weight from mr where mention is not null and mention <> speaker group by 1, 2, 3)
+select graph_id, 1 as part, id as seq, '      <node id="' || id || '" label="' || {esc} || '" />' as line from vx
+union all select me.graph_id, 3, a.id * 2147483648 + b.id, '      <edge source="' || a.id || '" target="' || b.id || '" weight="' || weight || '" />' from me join vx a on a.graph_id = me.graph_id and a.label = src join vx b on b.graph_id = me.graph_id and b.label = dst
+{frame}"""
+
+
+@query(_gexf_sql())
 def gexf_document(spark: SparkSession, d: str) -> DataFrame:
     rows = checkpoint(R.mention_rows(spark, d))
     return files.gexf_lines(graph.vertices_first_seen(rows, ["doc_id", "speech_no"]), graph.mention_edges(rows, ["doc_id", "speech_no"]))

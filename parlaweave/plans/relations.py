@@ -11,14 +11,25 @@ from ..operators import text as texts
 from ..session import table
 
 
+_FIELDS = ("fonte", "ano", "titulo", "data_str", "tipo", "text")
+
+
+def _first_capture(t: DataFrame) -> DataFrame:
+    """One row a session, whole from one capture: the earliest, ties by the fields."""
+    first = t.groupBy("doc_id").agg(F.min(F.struct("captured_at", *_FIELDS)).alias("c"))
+    return first.select("doc_id", *[F.col(f"c.{c}").alias(c) for c in _FIELDS])
+
+
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """One row a session: sessions captured twice have the same text."""
-    t = table(spark, d, "transcript").where("text is not null")
-    return t.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("fonte", "ano", "titulo", "data_str", "tipo", "text")])
+    """Sessions that have a text."""
+    return _first_capture(table(spark, d, "transcript").where("text is not null"))
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "transcript").groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("fonte", "ano", "titulo", "tipo")])
+    """All sessions."""
+    t = table(spark, d, "transcript")
+    first = t.groupBy("doc_id").agg(F.min(F.struct("captured_at", "fonte", "ano", "titulo", "data_str", "tipo")).alias("c"))
+    return first.select("doc_id", *[F.col(f"c.{c}").alias(c) for c in ("fonte", "ano", "titulo", "tipo")])
 
 
 def persons(spark: SparkSession, d: str) -> DataFrame:
@@ -55,8 +66,8 @@ def speech_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nation_edges(spark: SparkSession, d: str) -> DataFrame:
-    """A small dense digraph: customer nation to supplier nation, weighted by large order lines."""
-    li = table(spark, d, "lineitem").where("l_quantity >= 48").select("l_orderkey", "l_suppkey")
+    """A small dense digraph: customer nation to supplier nation, weighted by order lines."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
@@ -70,19 +81,37 @@ def nation_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
+    """Gold spans, one a place: the row of the least ``cmp_id``."""
     g = table(spark, d, "compare_outputs").where("manual_start is not null")
-    return g.groupBy("doc_id", F.col("manual_start").alias("start"), F.col("manual_end").alias("end")).agg(F.min("cmp_id").alias("gold_id"), F.min("manual_canon").alias("canon"), F.min("manual_raw").alias("raw"))
+    first = g.groupBy("doc_id", F.col("manual_start").alias("start"), F.col("manual_end").alias("end")).agg(F.min(F.struct("cmp_id", "manual_canon", "manual_raw")).alias("c"))
+    return first.select("doc_id", "start", "end", F.col("c.cmp_id").alias("gold_id"), F.col("c.manual_canon").alias("canon"), F.col("c.manual_raw").alias("raw"))
 
 
 def predicted(spark: SparkSession, d: str) -> DataFrame:
+    """Predicted spans, one a place: the row of the least ``cmp_id``."""
     p = table(spark, d, "compare_outputs").where("algo_start is not null")
-    return p.groupBy("doc_id", F.col("algo_start").alias("start"), F.col("algo_end").alias("end")).agg(F.min("cmp_id").alias("pred_id"), F.min("algo_canon").alias("p_canon"), F.min("raw_text").alias("p_raw"))
+    first = p.groupBy("doc_id", F.col("algo_start").alias("start"), F.col("algo_end").alias("end")).agg(F.min(F.struct("cmp_id", "algo_canon", "raw_text")).alias("c"))
+    return first.select("doc_id", "start", "end", F.col("c.cmp_id").alias("pred_id"), F.col("c.algo_canon").alias("p_canon"), F.col("c.raw_text").alias("p_raw"))
 
 
-def pages(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
-    """Raw pages in the form the houses publish, made from the transcripts; ``most`` keeps only so many code points of the text."""
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """Raw pages in the form the houses publish, made from the whole transcripts.  They hold stray end tags, elements left open, a link outside the
+    agenda and an agenda of three cells: one that counts, one of a kind left out, one without a category."""
     t = transcripts(spark, d)
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    title = F.coalesce("titulo", F.lit("sem título"))
-    html = F.concat(F.lit("<html><head><title>"), esc(title), F.lit("</title></head><body><h1>"), esc(title), F.lit('</h1><a href="/notas/'), F.col("doc_id"), F.lit('">x</a><p><b>O SR. PRESIDENTE</b><b>Nota</b></p><span>'), esc(F.col("text") if most is None else F.substring("text", 1, most)), F.lit("</span></body></html>"))
+    title = esc(F.coalesce("titulo", F.lit("sem título")))
+    kind = esc(F.coalesce("tipo", F.lit("x")))
+    cell = lambda name, code: F.concat(F.lit('<td><span class="g-agenda__categoria"> '), name, F.lit(' </span><a href="/evento/'), code, F.lit('">ver</a></td>'))
+    code = F.element_at(F.split("doc_id", "/"), -1)
+    agenda = F.concat(F.lit('<table><tr><td><a href="/outro/0">sem categoria</a></td>'), cell(F.lit("Outros eventos"), F.lit("1")), cell(F.concat(kind, F.lit(" geral")), code), F.lit("</tr></table>"))
+    html = F.concat(
+        F.lit("<html><head><title>"), title, F.lit('</title></head><body><h1>'), title, F.lit('</h1></i><a href="/notas/'), F.col("doc_id"), F.lit('/">x</a><br>'), agenda,
+        F.lit('<p><b>O SR. PRESIDENTE</b></em><b>Nota</b><span class="fala x">'), esc(F.col("text")), F.lit("</span></body></html>"),
+    )
     return t.select("doc_id", html.alias("html"))
+
+
+def captures(spark: SparkSession, d: str) -> DataFrame:
+    """Every capture of a session with a status: one that brought no text counts as a failure of the server."""
+    blank = F.coalesce(F.trim("text") == "", F.lit(True))
+    return table(spark, d, "transcript").select("doc_id", "fonte", "tipo", "codigo", F.when(blank, 500).otherwise(200).alias("status"))

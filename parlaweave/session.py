@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder.  A cluster names it in ``spark.checkpoint.dir``; only where that
-    is unset (tests on one machine) a temporary folder is made."""
+    """The shared checkpoint folder.  A cluster names it in ``spark.checkpoint.dir``; where that is unset a temporary
+    folder is made if all runs on this machine (tests), and an error raised if not: executors elsewhere couldn't read it."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlaweave-ckpt-")
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        wanted = tempfile.mkdtemp(prefix="parlaweave-ckpt-")
+        atexit.register(shutil.rmtree, wanted, ignore_errors=True)
     sc.setCheckpointDir(wanted)
     return sc.getCheckpointDir() or wanted
 

@@ -9,12 +9,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import first_line, second_line_type
 
-def read_corpus(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Text files as documents: ``doc_id`` (path), ``base`` (name without ``.txt``), ``text``; annotated ones are left out."""
+
+def read_corpus(spark: SparkSession, path: str, recursive: bool = True, annotated: bool = False) -> DataFrame:
+    """Text files as documents: ``doc_id`` (path), ``base`` (name without ``.txt``), ``text``; annotated ones only if ``annotated``."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter="*.txt")
     name = F.col("_metadata.file_name")
-    return files.where(~name.endswith(".annotated.txt")).select(F.col("_metadata.file_path").alias("doc_id"), F.regexp_replace(name, r"\.txt$", "").alias("base"), F.col("value").alias("text"))
+    kept = files if annotated else files.where(~name.endswith(".annotated.txt"))
+    return kept.select(F.col("_metadata.file_path").alias("doc_id"), F.regexp_replace(name, r"\.txt$", "").alias("base"), F.col("value").alias("text"))
+
+
+def read_graph_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """All text files of one folder (not of those below), annotated ones too, for a graph: ``graph_id`` (the folder's name), ``doc_id``, ``base``, ``text``.
+
+    The order of a graph's documents is that of ``doc_id``, the path."""
+    docs = read_corpus(spark, path, recursive=False, annotated=True)
+    return docs.select(F.element_at(F.split("doc_id", "/"), -2).alias("graph_id"), "doc_id", "base", "text")
+
+
+def count_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files a folder: ``folder`` (its last name) and ``files``; only names are listed, no content is read."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return names.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def read_titles(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id``, ``first`` line and ``second`` line's type of every text file: the two kinds of heading that files may have."""
+    docs = read_corpus(spark, path)
+    return docs.select("doc_id", first_line(F.col("text")).alias("first"), second_line_type(F.col("text")).alias("second"))
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +93,65 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_metrics(metrics: DataFrame, path: str, house: str, stamp: str) -> str:
+    """The measures of a house's graphs as CSV under a name with house and time stamp; the path it wrote to."""
+    where = f"{path}/metricas_{house}_{stamp}"
+    write_csv(metrics.orderBy("graph_id"), where)
+    return where
+
+
+def code_lines(codes: DataFrame) -> DataFrame:
+    """Code lists as lines: ``ano`` and ``value``; a type goes on a line of its own, with a colon, before its code."""
+    line = F.concat_ws("\n", F.concat("tipo", F.lit(":")), F.col("codigo").cast("string"))
+    return codes.where("codigo is not null").select("ano", line.alias("value"))
+
+
+def write_codes(codes: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A folder a year of text files; ``append`` adds to what is there."""
+    code_lines(codes).write.mode(mode).partitionBy("ano").text(path)
+
+
+def failed_lines(failed: DataFrame, *keep: str) -> DataFrame:
+    """Error lists as lines: type and code written together."""
+    return failed.select(*keep, F.concat(F.coalesce("tipo", F.lit("")), F.col("codigo").cast("string")).alias("value"))
+
+
+def write_documents(docs: DataFrame, path: str, name: str, text: str) -> None:
+    """One folder a document, named by ``name``, with one file that holds ``text``; null texts are left out."""
+    one = docs.where(F.col(text).isNotNull()).select(F.col(name).alias("document"), F.col(text).alias("value"))
+    one.write.mode("overwrite").partitionBy("document").option("lineSep", "\n").text(path)
+
+
+def text_of_entities(grouped: DataFrame, texts: DataFrame, suffix: str = ".grouped_entities.json") -> DataFrame:
+    """Entity files (``path``) with the ``text`` of the document of the same base name, ``status`` ``processed`` or ``skipped`` where there is none.
+
+    ``texts`` has ``file`` (a file name) and ``text``; a name with ``.txt`` goes before the bare one."""
+    name = F.element_at(F.split("path", "/"), -1)
+    base = F.when(name.endswith(suffix), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(name)
+    known = texts.groupBy("file").agg(F.min("text").alias("text"))
+    with_txt, bare = (known.select(F.col("file").alias(f), F.col("text").alias(t)) for f, t in (("_f1", "_t1"), ("_f2", "_t2")))
+    out = grouped.withColumn("base", base)
+    out = out.join(with_txt, F.concat("base", F.lit(".txt")) == F.col("_f1"), "left").join(bare, F.col("base") == F.col("_f2"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in grouped.columns], "base", F.coalesce("_t1", "_t2").alias("text"), F.when(F.coalesce("_f1", "_f2").isNull(), "skipped").otherwise("processed").alias("status"))
+
+
+def status_counts(files: DataFrame) -> DataFrame:
+    """How many files were processed and skipped."""
+    return files.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+def gold_positions(entities: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
+    """Manual entities (``text``, ``original_start``, ``original_end``) grouped under their canonical names: ``key``, ``name``, ``positions`` with score 1.
+
+    Entities that lack a text or an end are left out; a text without an alias stands for itself."""
+    whole = entities.where("text is not null and original_start is not null and original_end is not null")
+    named = with_alias(whole.select(key, "text", "original_start", "original_end"), "text", aliases)
+    spot = F.struct(F.col("original_start").alias("start"), F.col("original_end").alias("end"), F.lit(1.0).alias("score"))
+    return named.groupBy(key, F.col("canonical").alias("name")).agg(F.array_sort(F.collect_set(spot)).alias("positions"))
+
+
+# What a GEXF document has around its nodes and edges.
+GEXF_FRAME = {0: '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">\n  <graph mode="static" defaultedgetype="directed">\n    <nodes>', 2: "    </nodes>\n    <edges>", 4: "    </edges>\n  </graph>\n</gexf>"}
 
 
 def gexf_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -85,8 +167,7 @@ def gexf_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     node = vertices.select("graph_id", F.lit(1).alias("part"), F.col("id").alias("seq"), F.format_string('      <node id="%d" label="%s" />', F.col("id"), attr(F.col("label"))).alias("line"))
     ends = edges.join(vertices.select("graph_id", F.col("label").alias("src"), F.col("id").alias("a")), ["graph_id", "src"]).join(vertices.select("graph_id", F.col("label").alias("dst"), F.col("id").alias("b")), ["graph_id", "dst"])
     edge = ends.select("graph_id", F.lit(3).alias("part"), (F.col("a") * (1 << 31) + F.col("b")).alias("seq"), F.format_string('      <edge source="%d" target="%d" weight="%d" />', "a", "b", F.col("weight").cast("bigint")).alias("line"))
-    frame = {0: '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">\n  <graph mode="static" defaultedgetype="directed">\n    <nodes>', 2: "    </nodes>\n    <edges>", 4: "    </edges>\n  </graph>\n</gexf>"}
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.lit(v).alias("line")) for k, v in frame.items()]))
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.lit(v).alias("line")) for k, v in GEXF_FRAME.items()]))
     rest = vertices.select("graph_id").distinct().select("graph_id", parts.alias("p")).select("graph_id", "p.part", F.lit(0).cast("bigint").alias("seq"), "p.line")
     return node.unionByName(edge).unionByName(rest)
 
@@ -112,12 +193,47 @@ def year_of_file(c: Column) -> Column:
     return F.split_part(F.split_part(F.element_at(F.split(c, "/"), -1), F.lit("_"), F.lit(2)), F.lit("."), F.lit(1))
 
 
-def fetch_pages(codes: DataFrame, fetch: Callable[[str, int], tuple[int, str | None]]) -> DataFrame:
-    """``fonte``, ``codigo``, ``status`` and ``html`` of every code by a pluggable ``fetch(fonte, codigo)``; the body counts only with status 200."""
+#: How the fetcher names itself.
+USER_AGENT = "Mozilla/5.0 (compatible; transcript-graph)"
+
+
+def agenda_urls(spark: SparkSession, template: str, first: int, last: int) -> DataFrame:
+    """``ano`` and ``url`` of the agenda of each year from ``first`` to ``last``; ``template`` has ``{ano}`` wherever the year goes."""
+    return spark.range(first, last + 1).select(F.col("id").cast("int").alias("ano"), F.replace(F.lit(template), F.lit("{ano}"), F.col("id").cast("string")).alias("url"))
+
+
+def probe_codes(spark: SparkSession, fonte: str, first: int, count: int) -> DataFrame:
+    """A dense range of codes to try: ``fonte`` and ``codigo`` from ``first`` on."""
+    return spark.range(first, first + count).select(F.lit(fonte).alias("fonte"), F.col("id").alias("codigo"))
+
+
+def urls_of(codes: DataFrame, template: str) -> DataFrame:
+    """``codes`` with ``url``; ``template`` has ``{codigo}``."""
+    return codes.withColumn("url", F.replace(F.lit(template), F.lit("{codigo}"), F.col("codigo").cast("string")))
+
+
+def http_get(url: str, agent: str = USER_AGENT, seconds: float = 30.0) -> tuple[int, str | None]:
+    """(status, body) of a page; the body only with status 200.  Status 0: no answer."""
+    import urllib.error
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=seconds) as answer:
+            return answer.status, answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace") if answer.status == 200 else None
+    except urllib.error.HTTPError as e:
+        return e.code, None
+    except OSError:
+        return 0, None
+
+
+def fetch_pages(pages: DataFrame, url: str = "url", fetch: Callable[[str], tuple[int, str | None]] = http_get) -> DataFrame:
+    """``pages`` with ``status`` and ``html`` of each ``url``, by a pluggable ``fetch``; the body counts only with status 200, and a null url isn't fetched."""
+    columns = pages.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(f, c, *fetch(f, c)) for f, c in zip(pdf["fonte"], pdf["codigo"])]
-            yield pd.DataFrame([(f, c, s, h if s == 200 else None) for f, c, s, h in rows], columns=["fonte", "codigo", "status", "html"])
+            got = [(None, None) if u is None else fetch(u) for u in pdf[url]]
+            yield pdf[columns].assign(status=pd.array([s for s, _ in got], dtype="Int32"), html=[h if s == 200 else None for s, h in got])
 
-    return codes.select("fonte", "codigo").mapInPandas(run, "fonte string, codigo bigint, status int, html string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    return pages.mapInPandas(run, f"{schema}, status int, html string")

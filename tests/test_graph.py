@@ -96,7 +96,7 @@ def test_gexf_and_files(spark, tmp_path):
 
 
 def test_pages(spark):
-    page = '<html><title>T</title><body><h1>H</h1><b>O SR. X</b><b>n</b><span>CPI da água</span><a href="/x/77">l</a><span>Outros</span><a href="/y/78">m</a></body></html>'
+    page = '<html><title>T</title><body><h1>H</h1><b>O SR. X</b><b>n</b><table><td><span class="g-agenda__categoria">CPI da água</span><a href="/x/77">l</a></td><td><span class="g-agenda__categoria">Outros</span><a href="/y/78">m</a></td></table></body></html>'
     f = html.page_fields(spark.createDataFrame([(1, page), (2, None)], "k long, h string"), "k", "h")
     r = f.orderBy("k").collect()
     assert (r[0].title, r[0].heading, r[0].codes) == ("T", "H", ["77", "78"]) and r[1].title is None
