@@ -126,7 +126,7 @@ def _odd(text: Column) -> Column:
 
 
 def _rebuilt(odd: DataFrame, look_alikes: Mapping[str, str]) -> DataFrame:
-    """``key`` and ``plain`` of the texts ``t`` with something odd in them."""
+    """``key`` and ``plain`` of the texts ``t`` with something odd in them; a text of which nothing is left has no row."""
     spark = odd.sparkSession
     # a given number of tasks: the texts are few bytes but become many code points; all that follows stays where the key is
     tasks = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -148,7 +148,7 @@ def _rebuilt(odd: DataFrame, look_alikes: Mapping[str, str]) -> DataFrame:
     parts = letters.select("key", "letter", base.alias("base"), marks.alias("marks")).join(F.broadcast(composition_table(spark)), "base", "left")
     whole = F.when(F.size("marks") == 0, F.col("base")).otherwise(composed(F.col("base"), F.col("marks"), F.col("made")))
     built = parts.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("letter", whole.alias("s")))), lambda x: x["s"]), "").alias("built"))
-    return todo.select("key").join(built, "key", "left").select("key", F.coalesce("built", F.lit("")).alias("plain"))
+    return built.withColumnRenamed("built", "plain")
 
 
 def plain_rows(rows: DataFrame, text: str, look_alikes: Mapping[str, str] = LOOK_ALIKES) -> DataFrame:
@@ -164,7 +164,7 @@ def plain_rows(rows: DataFrame, text: str, look_alikes: Mapping[str, str] = LOOK
     easy = rows.where(t.isNull() | ~_odd(t)).withColumn("plain", t).withColumn("is_case", F.lit(False))
     odd = rows.where(_odd(t))
     forms = checkpoint(_rebuilt(odd.select(t.alias("t")), look_alikes)).select(F.col("key").alias("_plain_key"), "plain")
-    out = odd.join(forms, _key(t) == F.col("_plain_key")).select(*[F.col(f"`{c}`") for c in rows.columns], "plain")
+    out = odd.join(forms, _key(t) == F.col("_plain_key"), "left").select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("plain", F.lit("")).alias("plain"))
     return easy.unionByName(out.withColumn("is_case", (F.col("plain") != t) & ~foreign(t)))
 
 

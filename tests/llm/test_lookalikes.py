@@ -62,6 +62,7 @@ def test_composition_is_canonical(spark):
 
 
 def test_more_scripts_and_a_table_of_ones_own(spark):
+    assert plain(spark, "\u200b", "\u200b\ufeff") == {"\u200b": "", "\u200b\ufeff": ""}
     df = spark.createDataFrame([("ꓡima",), ("Ⲧeixeira",), ("ꓡꓲ",), ("Ana ∅",)], "w string")
     assert {r.w: r.plain for r in L.plain_texts(df, "w").collect()} == {"ꓡima": "Lima", "Ⲧeixeira": "Teixeira", "ꓡꓲ": "LI", "Ana ∅": "Ana ∅"}
     assert {r.w: r.plain for r in L.plain_texts(df, "w", {"∅": "O"}).collect()}["Ana ∅"] == "Ana O"
