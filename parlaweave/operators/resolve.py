@@ -16,6 +16,8 @@ from ..session import checkpoint, parallelism
 
 #: Distinct keys of one graph that a task compares with as many others.
 BLOCK_KEYS = 1_000
+#: Similar pairs that are united in one task (some 200 bytes each).
+TASK_EDGES = 500_000
 #: Distinct names of one graph that the ordered resolver folds in one task.
 ORDERED_NAMES = 100_000
 
@@ -69,11 +71,36 @@ def resolve_in_order(names: DataFrame, faithful: bool = True, threshold: int = 8
     return keyed.repartition(tasks, "graph_id").groupBy("graph_id").applyInPandas(fold, f"graph_id {kinds['graph_id']}, seq {kinds['seq']}, name string, canonical string")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (its component's least node) for undirected edges ``a``, ``b``; alternating large and small stars, a few shuffles each."""
+def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over all edges of a task, the least node of a component being its root."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for pdf in frames:
+        for a, b in zip(pdf["a"], pdf["b"]):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 100_000):
+        some = nodes[at : at + 100_000]
+        yield pd.DataFrame({"node": some, "root": [root(x) for x in some]})
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """``node`` and ``root`` (its component's least node) for undirected edges ``a``, ``b``.
+
+    Up to ``task_edges`` edges are united in one task; more go through alternating large and small stars, a few shuffles each, with the same result."""
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     e = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = mark(e)
+    if seen[0] <= task_edges:
+        kind = dict(e.dtypes)["a"]
+        return e.repartition(1).mapInPandas(_united, f"node {kind}, root {kind}")
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))

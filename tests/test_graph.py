@@ -74,7 +74,9 @@ def test_resolver(spark):
 
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
-    assert {(r.node, r.root) for r in R.components(e).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (101, 100)}
+    for most in (500_000, 3):
+        assert {(r.node, r.root) for r in R.components(e, most).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (101, 100)}
+    assert R.components(e.limit(0)).count() == 0 and [tuple(r) for r in R.components(spark.createDataFrame([("b", "b"), ("a", "b"), ("b", "a")], "a string, b string")).orderBy("node").collect()] == [("a", "a"), ("b", "a")]
 
 
 def test_gexf_and_files(spark, tmp_path):
