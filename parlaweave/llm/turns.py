@@ -46,7 +46,6 @@ AT_LINE = re.compile(rf"{_BEFORE}(?P<label>(?P<head>[^\W\d_][^:\n()–—]*?){_P
 _AT_TITLE = re.compile(_TITLE + r"(?=[\s.]|$|(?<=\.))")
 #: Inside a line only the full stenographic form starts a stretch: article, title and name in capitals.
 _STENO = re.compile(r"O SR\.|A SRA\.")
-_MAY_FOLLOW = re.compile(r"(?:[.!?…)\]>*\"”:;,]\s|\s\s|\d\s|[-–—]\s|(?:^|\n)[^\S\n]*)\Z")
 IN_LINE = re.compile(rf"(?P<label>(?P<title>(?:O SR|A SRA)\.)[^\S\n]+(?P<name>[^\W\d_a-zà-ÿ][^a-zà-ÿ()\n:–—]*?){_PAREN}){_END}", re.M)
 ALONE = re.compile(rf"{_BEFORE}(?P<label>\((?P<paren>[^()\n]*identificad[oa][^()\n]*)\)){_END}", re.M | re.I)
 
@@ -119,15 +118,24 @@ def parse(m: re.Match[str]) -> Label | None:
     return out
 
 
+def _may_follow(text: str, at: int) -> bool:
+    """Whether an introduction may stand here: at the beginning of a line, behind a sign and white space, or behind a gap."""
+    if at == 0 or text[at - 1] == "\n":
+        return True
+    before = text[at - 2] if at > 1 else "\n"
+    return text[at - 1].isspace() and (before.isspace() or before.isdigit() or before in ".!?…)]>*\"”:;,-–—")
+
+
 def _matches(text: str) -> Iterator[re.Match[str]]:
     """All places where a label may stand: at the beginning of a line, and at a stenographic introduction inside one."""
     for line in _LINE.finditer(text):
         for pattern in (ALONE, AT_LINE):
             if m := pattern.match(text, line.start()):
                 yield m
-    for m in _STENO.finditer(text):
-        if _MAY_FOLLOW.search(text, max(0, text.rfind("\n", 0, m.start())), m.start()) and (found := IN_LINE.match(text, m.start())):
-            yield found
+    found = [m.start() for m in _STENO.finditer(text)]
+    for at, following in zip(found, [*found[1:], len(text)]):  # a label does not run over the next introduction
+        if _may_follow(text, at) and (m := IN_LINE.match(text, at, following + 1)):
+            yield m
 
 
 def labels(text: str, known: dict[tuple, Label] | None = None) -> list[Label]:

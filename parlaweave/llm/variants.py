@@ -155,7 +155,7 @@ def parse_name(word: str | None) -> tuple[list[tuple[str, str]], str, str, str]:
     """(words with their kind, party, state, acronym).  Kinds: ``full``, ``initial``, ``abbr`` (a beginning with a dot)."""
     if not word:
         return [], "", "", ""
-    s, party, state, acronym = word.strip(), "", "", ""
+    s, party, state, acronym = " ".join(word.split()), "", "", ""
     if m := _AFFILIATION.search(s):
         s, party, state = s[: m.start()], fold(m[1]), fold(m[2])
     if m := _ACRONYM.search(s):
@@ -308,6 +308,7 @@ class Index:
             for t in acronyms.union(*(m["terms"] for m in made)):
                 self.holders.setdefault(t, set()).add(at)
         self.trie = Trie(self.holders)
+        self.longest = max((len(n["words"]) for e in self.entries for n in e["names"]), default=0)
 
     def near(self, words: list[tuple[str, bool]]) -> Iterator[tuple[str, bool, str, int]]:
         """(typed word, whether it is abbreviated, term, edits) of typed words."""
@@ -339,6 +340,8 @@ class Index:
 
     def candidates(self, variant: list[dict]) -> set[int]:
         """All entries that can fit: they hold a neighbour of every written-out word, or of all but one that is a nickname of the given name."""
+        if len(variant) > self.longest:  # each typed word takes a word of the name at least
+            return set()
         held = [(w, self.held(w)) for w in variant if w["kind"] != "initial"]
         if not held:
             return set()
